@@ -8,9 +8,10 @@ only those with a longer one are near. The depth thus follows the region by itse
 
 Candidates come in two passes. The first takes, in each order, the nearest neighbour on either side whose
 sketch agrees; chosen pairs are confirmed on the full sets and merged. The second takes only documents
-that had a candidate, and only pairs that aren't yet in one component, with all neighbours up to
-``REACH`` rows away and, where whole prefixes are equal, any number of rows away. A large group of copies
-is merged in the first pass and makes no pairs in the second. Nothing is capped at the full depth.
+that had a candidate, and looks up to ``REACH`` rows away (any distance where whole prefixes are equal) for
+neighbours of another component. It notes (document, component) and not pairs: the document is then held
+against every member of the component, in blocks, by an index of the block's shingles. A large group of copies is
+one component after the first pass, so only its outliers are left, and they miss no member.
 
 The sketch (128 values of 4 bits) only skips pairs five standard deviations below the threshold. For a
 pair at similarity 0.8 the chance that no order puts it together at depth 4 is about 3e-5.
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +36,8 @@ PERMUTATIONS = 128
 #: Neighbours up to this many rows away need MIN_DEPTH equal values; beyond, all DEPTH of them.
 REACH, MIN_DEPTH = 64, 3
 BLOCK = 200_000
+#: Components of up to SMALL members are met as pairs, larger ones in blocks of MEMBERS members and PROBES documents.
+SMALL, MEMBERS, PROBES = 8, 256, 1024
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; more are joined.
 BROADCAST_IDS = 4_000_000
 
@@ -102,12 +106,15 @@ _ZEROS = np.array([(b < 16) + (b % 16 == 0) for b in range(256)], np.uint8)
 
 
 def _neighbours(similarity: float, cross: bool):
-    """Pairs of one sorted order. cross: all pairs of different labels; otherwise each row's nearest on either side."""
+    """Candidates of the sorted orders: pairs of nodes, each row's nearest on either side.
+
+    cross: a node and the label of another component that it is near to, with the larger component as the label.
+    """
     share = similarity + (1 - similarity) / 16
     least = int(PERMUTATIONS * share - 5 * np.sqrt(PERMUTATIONS * share * (1 - share)))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
 
-    def pairs(key, node, n, sketch, label) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(key, node, n, sketch, label, weight) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         rows = len(node)
         same = np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1)
         left = np.arange(rows - 1)
@@ -132,7 +139,10 @@ def _neighbours(similarity: float, cross: bool):
                 p, q, m = p[good], q[good], m[good]
                 if not cross:
                     done_r[p], done_l[q] = True, True
-                yield np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), m
+                    yield np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), m
+                else:
+                    back = (weight[p] > weight[q]) | (weight[p] == weight[q]) & (label[p] < label[q])
+                    yield np.where(back, node[q], node[p]), np.where(back, label[p], label[q]), m
             offset += 1
             far = left + offset < rows
             left, depth = left[far], depth[far]
@@ -145,10 +155,14 @@ def _neighbours(similarity: float, cross: bool):
             if tree.num_rows < 2:
                 return
             flat = lambda c, kind, w: np.frombuffer(b"".join(tree.column(c).to_pylist()), kind).reshape(-1, w)
-            cols = [tree.column(c).to_numpy() for c in ("node", "n_shingles", "label")]
-            found = [x for x in pairs(flat("key", ">u2", DEPTH), cols[0], cols[1], flat("sketch", np.uint8, PERMUTATIONS // 2), cols[2]) if len(x[0])]
+            cols = [tree.column(c).to_numpy() for c in ("node", "n_shingles", "label", "weight")]
+            found = [x for x in pairs(flat("key", ">u2", DEPTH), cols[0], cols[1], flat("sketch", np.uint8, PERMUTATIONS // 2), cols[2], cols[3]) if len(x[0])]
             if found:
                 a, b, m = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((-m, b, a))
+                a, b, m = a[order], b[order], m[order]
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                a, b, m = a[new], b[new], m[new]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m)], schema=out)
 
         # Blocks are bounded, whatever a partition holds, and overlap by REACH rows.
@@ -175,9 +189,9 @@ def _by_tree(block: pa.Table, emit) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(signed: DataFrame, similarity: float, cross: bool) -> DataFrame:
-    """signed: one row for each node, with ``label``. Candidate pairs a < b, each once, with the number of equal sketch values."""
-    rows = signed.select("node", "n_shingles", "sketch", "label", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr(f"substring(keys, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "node", "n_shingles", "sketch", "label")
+    """signed: one row for each node, with ``label, weight``. Candidates a, b, each once, with the number of equal sketch values."""
+    rows = signed.select("node", "n_shingles", "sketch", "label", "weight", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("tree", F.expr(f"substring(keys, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "node", "n_shingles", "sketch", "label", "weight")
     rows = rows.repartitionByRange(partitions(signed.sparkSession), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     return rows.mapInArrow(_neighbours(similarity, cross), "a long, b long, m int").groupBy("a", "b").agg(F.max("m").alias("m"))
 
@@ -216,6 +230,42 @@ def _confirm(percent: int):
     return run
 
 
+def _meet(percent: int):
+    def run(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        if len(probes) and len(members):
+            held = [np.frombuffer(x, np.uint64) for x in members["values"]]
+            size, node = np.array([len(x) for x in held]), members["node"].to_numpy()
+            values = np.concatenate(held)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(held)), size)[order]
+            for x, raw in zip(probes["x"], probes["values"], strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                span = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+                shared = np.bincount(owner[at], minlength=len(held))
+                linked = np.flatnonzero(100 * shared >= percent * (size + len(own) - shared))
+                if len(linked):  # the members are one component already: one link tells all
+                    links.append((x, node[linked[0]]))
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _outliers(near: DataFrame, place: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of documents ``x`` to members of the component ``label``, every member tried."""
+    deal = near.groupBy("label").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    deal = deal.select("label", F.ceil(F.col("weight") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("n") / PROBES).cast("int").alias("salts"))
+    spread = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
+    probes = near.select("x", "label").join(deal, "label").withColumn("salt", spread("x", "salts")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    probes = probes.join(sets.toDF("x", "values"), "x").select("label", "block", "salt", "x", "values")
+    members = place.join(deal, "label").withColumn("block", spread("node", "blocks")).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+    members = members.join(sets.toDF("node", "mine"), "node").select("label", "block", "salt", "node", F.col("mine").alias("values"))
+    key = ("label", "block", "salt")
+    return probes.groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(_meet(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: ``doc_id, n_shingles, component_id, kept``.
 
@@ -230,7 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = scratch.save(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, node long, keys binary, sketch binary"), "signed")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.save(classes, "classes")
-    one = signed.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "node"), ["node", "doc_id"]).dropDuplicates(["node"]).withColumn("label", F.col("node"))
+    one = signed.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "node"), ["node", "doc_id"]).dropDuplicates(["node"]).withColumns({"label": F.col("node"), "weight": F.lit(1).cast("long")})
     pairs = scratch.save(_forest(one, similarity, cross=False), "pairs")
 
     touched = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "touched")
@@ -263,9 +313,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     second = scratch.save(second, "second")
     links2 = scratch.save(confirm(second), "links2")
     labels = components(links.union(links2), scratch, "cc2")
-    again = one.join(touched, "node", "left_semi").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    last = crossing(_forest(again, similarity, cross=True).join(tested.union(second), ["a", "b"], "left_anti"), labels)
-    links3 = scratch.save(confirm(last), "links3")
+    place = scratch.save(touched.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "place")
+    weight = scratch.save(place.groupBy("label").agg(F.count(F.lit(1)).alias("weight")), "weight")
+    again = one.drop("label", "weight").join(place.join(weight, "label"), "node")
+    near = _forest(again, similarity, cross=True).select(F.col("a").alias("x"), F.col("b").alias("label")).join(weight, "label")
+    near = scratch.save(near, "near")
+    few = near.where(F.col("weight") <= SMALL).join(place, "label").select(F.col("x").alias("a"), F.col("node").alias("b"))
+    links3 = scratch.save(confirm(few).union(_outliers(near.where(F.col("weight") > SMALL), place, sets, percent)), "links3")
     labels = components(links.union(links2).union(links3), scratch, "cc3")
 
     member = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
