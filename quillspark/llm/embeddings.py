@@ -16,13 +16,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, table
+from quillspark.llm.common import Scratch, partitions, table
 from quillspark.llm.components import components
 
 BLOCK = 512
@@ -87,36 +86,71 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
     return keep
 
 
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+
+
+def _block(t: int, a: int, b: int, node: np.ndarray, copies: np.ndarray, block: np.ndarray, key: np.ndarray, x: np.ndarray, cosine: float):
+    """Of two blocks of a bucket of table t: (node, node, links found) and (node, node, 0) for a forest of the links."""
+    left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+    i, j = np.nonzero(x[left] @ x[right].T >= cosine)
+    i, j = left[i], right[j]
+    if a == b:
+        i, j = i[i < j], j[i < j]
+    if t and len(i):
+        first = ~(key[i, :t] == key[j, :t]).any(axis=1)
+        i, j = i[first], j[first]
+    if not len(i):
+        return
+    links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+    some = np.flatnonzero(links)
+    yield node[some], node[some], links[some].astype(np.int64)
+    keep = _forest(i, j, len(node))
+    yield node[i[keep]], node[j[keep]], np.zeros(len(keep), np.int64)
+
+
 def _compare(cosine: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        t = int(group["t"].iat[0])
-        empty = pd.DataFrame({"u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64")})
+    """Rows come sorted by (t, key, x, y); a run of equal ones is at most two blocks. Batches hold many runs."""
+
+    def runs(held: pa.Table, whole: bool) -> tuple[int, list[tuple[int, int]]]:
+        mark = np.stack([held.column(c).to_numpy() for c in ("t", "bucket", "x", "y")])
+        cut = np.flatnonzero(np.concatenate([[True], (mark[:, 1:] != mark[:, :-1]).any(axis=0)]))
+        ends = np.append(cut[1:], held.num_rows)
+        pairs = list(zip(cut.tolist(), ends.tolist(), strict=True))
+        return (held.num_rows, pairs) if whole else (pairs[-1][0], pairs[:-1])
+
+    def work(held: pa.Table, pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        t, a, b, node, copies, block = (held.column(c).to_numpy() for c in ("t", "x", "y", "node", "copies", "block"))
+        raw, keys = held.column("raw").to_pylist(), held.column("keys").to_pylist()
+        width = len(keys[0]) // 4 if keys else 0
+        key = np.frombuffer(b"".join(keys), np.uint32).reshape(-1, width)
         out = []
-        for _, part in group.groupby(group["raw"].str.len(), sort=False):
-            if len(part) < 2:
-                continue
-            part = part.sort_values("node")
-            x = np.frombuffer(b"".join(part["raw"]), np.float64).reshape(len(part), -1)
+        sizes = np.array([len(r) for r in raw])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            key = np.frombuffer(b"".join(part["keys"]), np.uint32).reshape(len(part), -1)[:, :t]
-            node, copies, block = part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
-            a, b = int(part["x"].iat[0]), int(part["y"].iat[0])
-            left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-            i, j = left[i], right[j]
-            use = i < j if a == b else np.ones(len(i), bool)
-            i, j = i[use], j[use]
-            first = ~(key[i] == key[j]).any(axis=1)
-            i, j = i[first], j[first]
-            if not len(i):
-                continue
-            links = np.bincount(i, copies[j], len(part)) + np.bincount(j, copies[i], len(part))
-            some = np.flatnonzero(links)
-            out.append(pd.DataFrame({"u": node[some], "v": node[some], "links": links[some].astype("int64")}))
-            keep = _forest(i, j, len(part))
-            out.append(pd.DataFrame({"u": node[i[keep]], "v": node[j[keep]], "links": np.zeros(len(keep), "int64")}))
-        return pd.concat(out) if out else empty
+            own = np.searchsorted(at, np.array(pairs).reshape(-1, 2))
+            for lo, hi in own.tolist():
+                if hi - lo > 1:
+                    r = at[lo:hi]
+                    out += _block(int(t[r[0]]), int(a[r[0]]), int(b[r[0]]), node[r], copies[r], block[r], key[r], x[lo:hi], cosine)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=LINKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows >= 4 * BLOCK:
+                done, pairs = runs(rows, False)
+                yield from work(rows.slice(0, done), pairs)
+                held = rows.slice(done).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows:
+                yield from work(rows, runs(rows, True)[1])
 
     return run
 
@@ -145,8 +179,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     # A row of block b goes to the tasks of (min(b, o), max(b, o)) for every block o of its bucket.
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "n", "blocks")
-    found = rows.groupBy("t", "key", "x", "y").applyInPandas(_compare(cosine), "u long, v long, links long")
+    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    rows = rows.select("t", F.conv(F.hex("key"), 16, 10).cast("long").alias("bucket"), "x", "y", "block", "node", "copies", "keys", "raw")
+    order = ("t", "bucket", "x", "y")
+    rows = rows.repartition(partitions(spark), *order).sortWithinPartitions(*order)
+    found = rows.mapInArrow(_compare(cosine), "u long, v long, links long")
     found = scratch.save(found, "found")
 
     labels = components(found.where("u != v"), scratch)
