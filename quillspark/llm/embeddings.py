@@ -26,7 +26,9 @@ from quillspark.llm.components import components
 
 BLOCK = 512
 #: A linked pair is missed with at most this chance.
-MISS = 1e-6
+MISS = 1e-5
+#: Up to so many buckets of more than one block are broadcast.
+BROADCAST_BUCKETS = 200_000
 
 
 def plan(rows: int, cosine: float) -> tuple[int, int]:
@@ -40,8 +42,8 @@ def _valid(vector: str) -> str:
     return f"{vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists({vector}, x -> x != 0)"
 
 
-def _hash(bits: int, tables: int):
-    """Per vector: class (128-bit hash of its direction's exact bytes) and the keys of all tables."""
+def _hash(bits: int, tables: int, kind: type):
+    """Per vector: class (hash of its exact components), the keys of all tables, and the components as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -50,7 +52,7 @@ def _hash(bits: int, tables: int):
             by_size: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_size.setdefault(len(v), []).append(i)
-            kind, keys, raw = [0] * len(vectors), [b""] * len(vectors), [b""] * len(vectors)
+            node, keys, raw = [0] * len(vectors), [b""] * len(vectors), [b""] * len(vectors)
             for size, at in by_size.items():
                 if size not in planes:
                     planes[size] = np.random.default_rng(size).standard_normal((size, bits * tables))
@@ -58,11 +60,11 @@ def _hash(bits: int, tables: int):
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 signs = (x @ planes[size] >= 0).reshape(len(at), tables, bits)
                 key = (signs @ (1 << np.arange(bits))).astype(np.uint32)
-                exact = np.array([vectors[i] for i in at], np.float64) + 0.0
+                exact = np.array([vectors[i] for i in at], kind) + kind(0)
                 for k, i in enumerate(at):
                     keys[i], raw[i] = key[k].tobytes(), exact[k].tobytes()
-                    kind[i] = xxhash.xxh3_64_intdigest(raw[i]) - (1 << 63)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(kind, pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "node", "keys", "raw"])
+                    node[i] = xxhash.xxh3_64_intdigest(raw[i]) - (1 << 63)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "node", "keys", "raw"])
 
     return run
 
@@ -108,7 +110,7 @@ def _block(t: int, a: int, b: int, node: np.ndarray, copies: np.ndarray, block:
     yield node[i[keep]], node[j[keep]], np.zeros(len(keep), np.int64)
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: type):
     """Rows come sorted by (t, key, x, y); a run of equal ones is at most two blocks. Batches hold many runs."""
 
     def runs(held: pa.Table, whole: bool) -> tuple[int, list[tuple[int, int]]]:
@@ -127,7 +129,7 @@ def _compare(cosine: float):
         sizes = np.array([len(r) for r in raw])
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
-            x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
+            x = np.frombuffer(b"".join(raw[i] for i in at), kind).reshape(len(at), -1).astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             own = np.searchsorted(at, np.array(pairs).reshape(-1, 2))
@@ -165,8 +167,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
     bits, tables = plan(plain.count(), cosine)
-    hashed = plain.where(_valid("v")).mapInArrow(_hash(bits, tables), "vec_id long, node long, keys binary, raw binary")
+    hashed = plain.where(_valid("v")).mapInArrow(_hash(bits, tables, kind), "vec_id long, node long, keys binary, raw binary")
     hashed = scratch.save(hashed, "hashed")
     classes = hashed.groupBy("node").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     one = hashed.select("node", "keys", "raw").dropDuplicates(["node"]).join(classes, "node")
@@ -174,16 +177,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
 
     key = F.expr("substring(keys, t * 4 + 1, 4)")
     rows = one.select("node", "copies", "keys", "raw", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).withColumn("key", key)
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["t", "key"])
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    big = rows.select("t", "key").groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    big = scratch.save(big, "big")
+    rows = rows.join(F.broadcast(big) if big.count() <= BROADCAST_BUCKETS else big, ["t", "key"], "left")
+    rows = rows.withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     # A row of block b goes to the tasks of (min(b, o), max(b, o)) for every block o of its bucket.
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     rows = rows.select("t", F.conv(F.hex("key"), 16, 10).cast("long").alias("bucket"), "x", "y", "block", "node", "copies", "keys", "raw")
     order = ("t", "bucket", "x", "y")
     rows = rows.repartition(partitions(spark), *order).sortWithinPartitions(*order)
-    found = rows.mapInArrow(_compare(cosine), "u long, v long, links long")
+    found = rows.mapInArrow(_compare(cosine, kind), "u long, v long, links long")
     found = scratch.save(found, "found")
 
     labels = components(found.where("u != v"), scratch)
