@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import slices, table
 
-#: Pre-tokens whose ids a task remembers, and their greatest length.
-REMEMBERED, REMEMBERED_SIZE = 200_000, 32
-ENCODED = pa.schema([("ids", pa.list_(pa.int32()))])
+#: A task forgets the pre-tokens that it met when there are more of them.
+REMEMBERED = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -73,63 +72,112 @@ def serialise(tokens: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+class _Codes(dict):
+    """Numbers of pre-tokens; those met for the first time are listed in ``new``."""
+
+    def __missing__(self, part: str) -> int:
+        self[part] = code = self.first + len(self.new)
+        self.new.append(part)
+        return code
+
+
+def ragged(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches pool[start : start + size], one after the other."""
+    shift = start - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else start
+    return pool[np.repeat(shift, size) + np.arange(int(size.sum()))]
+
+
 class Encoder:
     def __init__(self, tokens: list[bytes], model: bytes, pattern: str):
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model)
         self.split = regex.compile(pattern).findall
         self.chars = {b: c for b, c in enumerate(byte_characters())}
-        self.known: dict[str, list[int]] = {}
-        for i, t in enumerate(tokens):
+        self.tokens = tokens
+        self.reset()
+
+    def reset(self) -> None:
+        """Codes 0..n-1 are the vocabulary's entries, each of one id; further codes are pre-tokens met since."""
+        self.codes = _Codes()
+        for i, t in enumerate(self.tokens):
             try:
-                self.known[t.decode()] = [i]
+                self.codes[t.decode()] = i
             except UnicodeDecodeError:
                 pass  # no text holds these bytes as a pre-token
-        self.room = len(self.known) + REMEMBERED
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        known = self.known
+        n = len(self.tokens)
+        self.pool, self.start, self.size = np.arange(n, dtype=np.int32), np.arange(n), np.ones(n, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and each text's number of ids."""
+        if len(self.codes) > len(self.tokens) + REMEMBERED:
+            self.reset()
+        known = self.codes
+        known.first, known.new = len(self.size), []
         parts = [self.split(t) for t in texts]
-        new = list({p for p in chain.from_iterable(parts) if p not in known})
-        fresh = dict(zip(new, self.model.EncodeAsIds([p.encode().decode("latin-1").translate(self.chars) for p in new]), strict=True)) if new else {}
-        out = [list(chain.from_iterable([known[p] if p in known else fresh[p] for p in part])) for part in parts]
-        if len(known) < self.room:
-            known.update((p, ids) for p, ids in fresh.items() if len(p) <= REMEMBERED_SIZE)
-        return out
-
-
-def _encode(model, pattern: str, kept: list[str]):
-    schema_of = lambda batch: pa.schema([*(batch.schema.field(c) for c in kept), ENCODED.field("ids")])
-
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+        if known.new:
+            found = self.model.EncodeAsIds([p.encode().decode("latin-1").translate(self.chars) for p in known.new])
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
+        size = self.size[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.concatenate([[0], np.cumsum(n)])
+        return ragged(self.pool, self.start[codes], size), ends[at[1:]] - ends[at[:-1]]
+
+
+class Decoder:
+    """The inverse mapping: the model's piece of each id, back to bytes."""
+
+    def __init__(self, model: bytes):
+        sp = sentencepiece.SentencePieceProcessor()
+        sp.LoadFromSerializedProto(model)
+        back = {c: b for b, c in enumerate(byte_characters())}
+        pieces = [bytes(back[c] for c in sp.IdToPiece(i)) for i in range(sp.GetPieceSize() - 1)]
+        self.pool = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.start = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The bytes of each row, given all rows' ids one after the other."""
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        offsets = ends[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+        data = ragged(self.pool, self.start[ids], size)
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+
+
+def _encode(model, pattern: str, kept: list[str], back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = decoder = None
         for whole in batches:
             encoder = encoder or Encoder(*model.value, pattern)
+            decoder = decoder or back and Decoder(model.value[1])
             for batch in slices(whole, "text", 1 << 20):
-                ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema_of(batch))
+                ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+                columns = [*(batch.column(c) for c in kept), _lists(ids, n)]
+                yield pa.RecordBatch.from_arrays(columns + [decoder.decode(ids, n)] * back, names=[*kept, "ids"] + ["decoded"] * back)
 
     return run
 
 
 def _decode(model, kept: list[str], ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = None
+        decoder = None
         for batch in batches:
-            if get is None:
-                # The inverse mapping: the model's piece of each id, back to bytes.
-                sp = sentencepiece.SentencePieceProcessor()
-                sp.LoadFromSerializedProto(model.value[1])
-                back = {c: b for b, c in enumerate(byte_characters())}
-                get = [bytes(back[c] for c in sp.IdToPiece(i)) for i in range(sp.GetPieceSize() - 1)].__getitem__
-            done, column = [], batch.column(ids_col)
-            for i in range(batch.num_rows):
-                ids = column[i].values
-                done.append(b"" if ids is None else b"".join(map(get, ids.to_pylist())))
-            columns = [*(batch.column(c) for c in kept), pa.array(done, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "decoded"])
+            decoder = decoder or Decoder(model.value[1])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                lists = part.column(ids_col)
+                n = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+                decoded = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), decoded], names=[*kept, "decoded"])
 
     return run
 
@@ -144,10 +192,17 @@ class Codec:
 
     def encode(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with ``ids`` in place of the text; a null text is empty and has no ids. A column named ids is replaced."""
-        kept = [c for c in docs.columns if c not in (text_col, "ids")]
+        return self._encoded(docs, text_col, False)
+
+    def round_trip(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """docs with ``ids`` and ``decoded`` in place of the text: both ways in one pass over the rows."""
+        return self._encoded(docs, text_col, True)
+
+    def _encoded(self, docs: DataFrame, text_col: str, back: bool) -> DataFrame:
+        kept = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
         rows = docs.select(*kept, F.col(text_col).cast("string").alias("text"))
-        schema = docs.select(*kept, F.lit(None).cast("array<int>").alias("ids")).schema
-        return rows.mapInArrow(_encode(self.model, self.pattern, kept), schema)
+        more = [F.lit(None).cast("array<int>").alias("ids")] + [F.lit(None).cast("binary").alias("decoded")] * back
+        return rows.mapInArrow(_encode(self.model, self.pattern, kept, back), docs.select(*kept, *more).schema)
 
     def decode(self, docs: DataFrame, ids_col: str = "ids") -> DataFrame:
         """docs with ``decoded``, the bytes of the ids, after its columns; null ids decode to no bytes."""
@@ -170,4 +225,4 @@ def digest(decoded: DataFrame, *keep: str) -> DataFrame:
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
     codec = default_codec(spark)
-    return digest(codec.decode(codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))), "doc_id")
+    return digest(codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
