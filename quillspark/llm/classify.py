@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WordHash, blobs, fold, mix, pair_hash, slices, table
 
 #: The bound of the training sample, for each label.
-PER_CLASS = 5000
+PER_CLASS = 4000
 #: Weights are 2**BITS numbers while fitting, and those that aren't zero afterwards.
 BITS = 20
 
@@ -141,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, features: Callable, per_class: int =
     chosen = [clean.where(f"label = {k}").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = chosen[0].union(chosen[1]).select("doc_id", F.col("label").cast("int").alias("label"))
     sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = sample.select("label", "text").mapInArrow(_extract(features), "label int, features binary").collect()
-    rows = sorted((float(r.label), bytes(r.features)) for r in got)
+    got = sample.select("label", "text").mapInArrow(_extract(features), "label int, features binary").toLocalIterator()
+    rows = sorted((float(r.label), bytes(r.features)) for r in got)  # in an order that no schedule changes
     return Model(*ftrl([(y, np.frombuffer(x, np.uint32)) for y, x in rows], **rates))
 
 
