@@ -32,7 +32,7 @@ BITS_PER_ENTRY, PROBES = 12, 6
 FILTER_BYTES = 1 << 30
 PART_BYTES = 1 << 28
 #: Bytes of training text for each shard, and of text for each block of counts that a task sends.
-SHARD_TEXT, BLOCK_TEXT = 8 << 20, 48 << 20
+SHARD_TEXT, BLOCK_TEXT = 8 << 20, 16 << 20
 
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
 
@@ -221,11 +221,11 @@ def _scores(model, part, totals: dict[str, int], last: bool, schema: pa.Schema):
     below = n + 0.1 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
+        seen = WordHash(100_000)
         low, high, hashes, counts = part.value
-        hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
+        hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint32 if len(counts) * 2 == len(hashes) else np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 token, before, size = _tokens(seen, blobs(batch.column("text")))
                 doc = np.repeat(np.arange(len(size)), size)
                 types, at = np.unique(token, return_inverse=True)
@@ -301,11 +301,12 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     sql = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
     for i, (low, high) in enumerate(ranges):
         own = counted.where(F.col("kind") == 1).where(F.col("shard").between(low, high)).select("shard", "hashes", "counts").orderBy("shard").toLocalIterator()
-        hashes, counts = bytearray(), bytearray()
+        hashes, counts, narrow = bytearray(), bytearray(), totals["n"] < 1 << 32
         for r in own:
             hashes += r.hashes
-            counts += r.counts
+            counts += np.frombuffer(r.counts, np.int64).astype(np.uint32).tobytes() if narrow else r.counts
         part = spark.sparkContext.broadcast((low << down, (high + 1 << down) - 1, bytes(hashes), bytes(counts)))
+        del hashes, counts
         last = i == len(ranges) - 1
         schema = pa.schema([*kinds.items(), ("score", pa.float64()) if last else ("text", pa.string())])
         rows = rows.mapInArrow(_scores(model, part, totals, last, schema), sql + (", score double" if last else ", text string"))
