@@ -158,11 +158,14 @@ def _encode(model, pattern: str, kept: list[str], back: bool):
         encoder = decoder = None
         for whole in batches:
             encoder = encoder or Encoder(*model.value, pattern)
-            decoder = decoder or back and Decoder(model.value[1])
+            if back and not decoder:
+                decoder = Decoder(model.value[1])
             for batch in slices(whole, "text", 1 << 20):
                 ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-                columns = [*(batch.column(c) for c in kept), _lists(ids, n)]
-                yield pa.RecordBatch.from_arrays(columns + [decoder.decode(ids, n)] * back, names=[*kept, "ids"] + ["decoded"] * back)
+                columns, names = [*(batch.column(c) for c in kept), _lists(ids, n)], [*kept, "ids"]
+                if decoder:
+                    columns, names = [*columns, decoder.decode(ids, n)], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
