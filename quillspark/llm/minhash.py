@@ -6,7 +6,7 @@ sorted order the rows with the longest common prefix stand together, so a row's
 neighbours: in a thin region a short common prefix is enough to be among the nearest, in a dense region
 only those with a longer one are near. The depth thus follows the region by itself.
 
-Candidates come in two passes. The first takes, in each order, the nearest neighbour on either side whose
+Candidates come in two passes. The first takes, in each order, the nearest neighbour whose
 sketch agrees; chosen pairs are confirmed on the full sets and merged. The second takes only documents
 that had a candidate, and looks up to ``REACH`` rows away (any distance where whole prefixes are equal) for
 neighbours of another component. It notes (document, component) and not pairs: the document is then held
@@ -106,7 +106,7 @@ _ZEROS = np.array([(b < 16) + (b % 16 == 0) for b in range(256)], np.uint8)
 
 
 def _neighbours(similarity: float, cross: bool):
-    """Candidates of the sorted orders: pairs of nodes, each row's nearest on either side.
+    """Candidates of the sorted orders: pairs of nodes, nearest first, as long as one of the two is in no pair yet.
 
     cross: a node and the label of another component that it is near to, with the larger component as the label.
     """
@@ -119,7 +119,7 @@ def _neighbours(similarity: float, cross: bool):
         same = np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1)
         left = np.arange(rows - 1)
         depth = same.copy()
-        done_r, done_l = np.zeros(rows, bool), np.zeros(rows, bool)
+        met = np.zeros(rows, bool)
         offset = 1
         while True:
             keep = depth >= (MIN_DEPTH if offset <= REACH else key.shape[1])
@@ -130,7 +130,7 @@ def _neighbours(similarity: float, cross: bool):
                 break
             i, j = left, left + offset
             ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (node[i] != node[j])
-            ok &= (label[i] != label[j]) if cross else ~(done_r[i] & done_l[j])
+            ok &= (label[i] != label[j]) if cross else ~(met[i] & met[j])
             i, j = i[ok], j[ok]
             for k in range(0, len(i), 65536):
                 p, q = i[k : k + 65536], j[k : k + 65536]
@@ -138,7 +138,7 @@ def _neighbours(similarity: float, cross: bool):
                 good = m >= least
                 p, q, m = p[good], q[good], m[good]
                 if not cross:
-                    done_r[p], done_l[q] = True, True
+                    met[p] = met[q] = True
                     yield np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), m
                 else:
                     back = (weight[p] > weight[q]) | (weight[p] == weight[q]) & (label[p] < label[q])
