@@ -34,7 +34,7 @@ from quillspark.llm.components import components
 TREES, STEP, DEPTH = 20, 6, 8
 PERMUTATIONS = 128
 #: Neighbours up to this many rows away need MIN_DEPTH equal values; beyond, all DEPTH of them.
-REACH, MIN_DEPTH = 64, 3
+REACH, MIN_DEPTH = 32, 3
 BLOCK = 200_000
 #: Components of up to SMALL members are met as pairs, larger ones in blocks of MEMBERS members and PROBES documents.
 SMALL, MEMBERS, PROBES = 8, 256, 1024
