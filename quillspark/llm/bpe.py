@@ -19,10 +19,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices, table
+from quillspark.llm.common import bounded_batches, slices, table
 
 #: A task forgets the pre-tokens that it met when there are more of them.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -189,6 +189,7 @@ class Codec:
     """A vocabulary ready to encode and decode DataFrames. The vocabulary's size bounds what is broadcast."""
 
     def __init__(self, spark, path: str, pattern: str):
+        bounded_batches(spark)
         tokens = read_ranks(path)
         self.pattern = pattern
         self.model = spark.sparkContext.broadcast((tokens, serialise(tokens)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WordHash, blobs, fold, mix, pair_hash, slices, table
+from quillspark.llm.common import WordHash, blobs, bounded_batches, fold, mix, pair_hash, slices, table
 
 #: The bound of the training sample, for each label.
 PER_CLASS = 4000
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: Callable, per_class: int =
     The sample is chosen from ids and labels alone (at most 2 * per_class ids, hence the broadcast), then only
     its texts are turned into features.
     """
+    bounded_batches(docs.sparkSession)
     clean = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top")
     chosen = [clean.where(f"label = {k}").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = chosen[0].union(chosen[1]).select("doc_id", F.col("label").cast("int").alias("label"))

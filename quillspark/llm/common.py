@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,18 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of an Arrow batch of texts; Spark's own limits would let long texts make batches of a GB.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to these; results don't depend on them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key, "0") or "0") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, blobs, mix, slices, table
+from quillspark.llm.common import Scratch, blobs, bounded_batches, mix, slices, table
 
 PART_BYTES = 1 << 28
 LOAD, LEVELS = 1.6, 40
@@ -192,6 +192,7 @@ def drop_common_lines(docs: DataFrame, least: int = 10, least_size: int = 1, tex
     count each. An empty table gives no rows. Columns of docs named n_lines or n_dropped are replaced; the others are kept.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "lines")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

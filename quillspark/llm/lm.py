@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, WordHash, blobs, fold, mix, pair_hash, slices, table, words
+from quillspark.llm.common import Scratch, WordHash, blobs, bounded_batches, fold, mix, pair_hash, slices, table, words
 
 BASE, PRIOR = 1.5, 150.0
 BITS_PER_ENTRY, PROBES = 12, 6
@@ -264,6 +264,7 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     each. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "lm")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     train = plain.where("not held_out").select("text")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, WordHash, blobs, mix, pair_hash, partitions, slices, table, words
+from quillspark.llm.common import Scratch, WordHash, blobs, bounded_batches, mix, pair_hash, partitions, slices, table, words
 from quillspark.llm.components import components
 
 TREES, STEP, DEPTH = 20, 6, 8
@@ -275,6 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     An empty table gives no rows. Other columns of docs are ignored.
     """
     spark, similarity = docs.sparkSession, percent / 100
+    bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, node long, keys binary, sketch binary"), "signed")
