@@ -59,7 +59,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch limits to these; results don't depend on them."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"\D", "", spark.conf.get(key, "0") or "0") or 0)
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
