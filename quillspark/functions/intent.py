@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.phrases import clean
+from quillspark.functions.text import tokens
+
 # The patterns of each intent, tried in this order.
 REQUIREMENT_ID = r"\b[A-Za-z]{2,}-\d+\b"
 REQUIREMENT = (r"\brequirement\b", r"\bshall\b", r"\bmust\b")
@@ -36,3 +39,87 @@ def entities(question: Column) -> Column:
     found = F.concat(ids, quoted, F.filter(subjects, lambda s: s != ""))
     first = lambda x, i: F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1
     return F.filter(found, first)
+
+
+# What shapes retrieval, section search and the question graph.
+EXPANSION = {"DEFINITION_LOOKUP": " definition means refers to", "EXPLANATION_LOOKUP": " meaning means definition explanation concept"}
+SECTION_INTENTS = ("LIST_REQUEST", "DEFINITION_LOOKUP", "WHERE_MENTIONED", "COMPARISON", "EXPLANATION_LOOKUP")
+SECTION_PHRASES = (
+    "different", "types of", "type of", "kinds of", "kind of", "what are", "list ", "mentioned", "explain", "meaning", "define", "architecture", "architectures",
+    "design pattern", "design patterns", "implementation pattern", "architcture", "architecure", "capability", "capabilities", "lineage",
+)
+TOPIC_WEAK = "what are different mentioned pdf document explain tell me the in of a an is was be this that how does do".split()
+SPELLING = {"architcture": "architecture", "architecure": "architecture", "architectur": "architecture", "architectues": "architectures"}
+NUMBER_PAIRS = (
+    ("architecture", "architectures"), ("capability", "capabilities"), ("pattern", "patterns"), ("section", "sections"), ("design_pattern", "design_patterns"),
+    ("building_block", "building_blocks"), ("improvement", "improvements"), ("requirement", "requirements"), ("limitation", "limitations"),
+)
+FORWARD = (("uses", "use"), ("contains", "contain"), ("includes", "include"), ("depends_on", r"depend\s+on"), ("refers_to", r"refer\s+to"), ("links_to", r"link\s+to"), ("implements", "implement"))
+REVERSE = (("implements", "implements"),)
+DEFINED = (r"^what\s+is\s+(.+?)\??\s*$", r"^define\s+(.+?)\??\s*$", r"^explain\s+(.+?)\??\s*$", r"^what\s+does\s+(.+?)\s+mean\??\s*$", r"^describe\s+(.+?)\??\s*$")
+WEAK_QUESTION = r"^(?:tell\s+me\s+something|anything|help|what\s+can\s+you\s+find)\b"
+NAMED_CATEGORIES = (("design.*pattern|pattern.*design", "design_pattern"), ("architect", "architecture"), ("capabilit", "capability"))
+COMPARED = (r"difference\s+between\s+(.+?)\s+and\s+(.+?)\??\s*$", r"compare\s+(.+?)\s+and\s+(.+?)\??\s*$", r"(.+?)\s+vs\.?\s+(.+?)\??\s*$")
+
+
+def comparison_terms(question: Column) -> Column:
+    """The two things compared, none if there is no comparison."""
+    rest = F.array().cast("array<string>")
+    for p in reversed(COMPARED):
+        pair = F.array(*[F.trim(F.regexp_extract(question, f"(?i){p}", g)) for g in (1, 2)])
+        rest = F.when(question.rlike(f"(?i){p}"), pair).otherwise(rest)
+    return rest
+
+
+def retrieval_query(question: Column) -> Column:
+    """The question with words that its intent adds."""
+    what, ids = intent(question), F.array_join(F.regexp_extract_all(question, F.lit(f"({REQUIREMENT_ID})"), F.lit(1)), " ")
+    more = F.when((what == "REQUIREMENT_REFERENCE") & (ids != ""), F.concat(F.lit(" "), ids))
+    for name, words in EXPANSION.items():
+        more = more.when(what == name, words)
+    return F.concat(question, more.otherwise(""))
+
+
+def wants_sections(question: Column) -> Column:
+    """Whether whole sections answer a question better than chunks."""
+    q = F.lower(F.trim(question))
+    return (q != "") & (intent(question).isin(list(SECTION_INTENTS)) | q.rlike("^(?:what are|list)") | q.rlike("|".join(SECTION_PHRASES)))
+
+
+def with_numbers(terms: Column) -> Column:
+    """Terms spelled right, and the other number of those that have one; sorted."""
+    right = F.transform(terms, lambda w: F.coalesce(*[F.when(w == a, b) for a, b in SPELLING.items()], w))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (*NUMBER_PAIRS, *[(b, a) for a, b in NUMBER_PAIRS])])
+    other = F.transform(F.filter(pairs, lambda p: F.array_contains(right, p["a"])), lambda p: p["b"])
+    return F.array_sort(F.array_distinct(F.concat(right, other)))
+
+
+def topic_terms(question: Column) -> Column:
+    return with_numbers(F.filter(F.array_distinct(tokens(question)), lambda w: ~w.isin(TOPIC_WEAK)))
+
+
+def question_graph(question: Column) -> Column:
+    """(kind, entity, relation, category) of a question: forward, reverse, definition, category or generic; the first that fits."""
+    q = F.trim(F.regexp_replace(question, r"\s+", " "))
+    made = lambda kind, entity=None, relation=None, category=None: F.struct(
+        F.lit(kind).alias("kind"), (F.lit(None).cast("string") if entity is None else entity).alias("entity"), F.lit(relation).cast("string").alias("relation"), F.lit(category).cast("string").alias("category")
+    )
+    cases = [((q == "") | q.rlike(f"(?i){WEAK_QUESTION}"), made("generic"))]
+
+    def case(pattern: str, kind: str, relation: str) -> None:
+        entity = clean(F.regexp_extract(q, f"(?i){pattern}", 1))
+        cases.append((q.rlike(f"(?i){pattern}") & F.length(entity).between(2, 120) & (F.size(tokens(entity)) > 0), made(kind, entity, relation)))
+
+    for relation, word in FORWARD:
+        case(rf"^what\s+does\s+(.+?)\s+{word}\??\s*$", "forward", relation)
+    for relation, word in REVERSE:
+        case(rf"^what\s+{word}\s+(.+?)\??\s*$", "reverse", relation)
+    for pattern in DEFINED:
+        case(pattern, "definition", "definition")
+    named = F.transform(F.filter(entities(question), lambda e: F.length(e).between(2, 120) & (F.size(tokens(e)) > 0)), clean)
+    cases.append((intent(question).isin(*EXPANSION) & (F.size(named) > 0), made("definition", F.try_element_at(named, F.lit(1)), "definition")))
+    asks = F.lower(q).rlike("what are|list|different|mentioned")
+    for words, name in NAMED_CATEGORIES:
+        cases.append((asks & F.lower(q).rlike(words), made("category", relation="mentions", category=name)))
+    hint = F.struct(F.lit("generic").alias("kind"), F.lit(None).cast("string").alias("entity"), F.when(intent(question).isin("WHERE_MENTIONED", "LIST_REQUEST"), "mentions").alias("relation"), F.lit(None).cast("string").alias("category"))
+    return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(cases), hint)
