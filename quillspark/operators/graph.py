@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Relation and the words that state it, in order.
@@ -52,3 +54,73 @@ def neighbours(graph: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
         front = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d))
         reached = reached.unionByName(front)
     return reached
+
+
+# Relations that define, their words, and the scores of a match.
+DEFINING = ("definition", "is_a", "refers_to", "mentions", "links_to")
+SHOWN = {"depends_on": "depends on", "refers_to": "refers to", "links_to": "links to", "is_a": "is"}
+EXACT, PART, RELATION, LEAST_ANSWER = 5.0, 3.0, 5.0, 8.0
+#: Questions in one broadcast; larger batches are joined block by block.
+BLOCK = 10_000
+
+
+def match_form(value: Column) -> Column:
+    return F.trim(F.regexp_replace(label(value), r"[^\p{L}\p{N}_\s-]+", ""))
+
+
+def _numbers(base: Column) -> Column:
+    short = lambda k: F.substring(base, F.lit(1), F.length(base) - k)
+    s = F.when(base.endswith("s") & (F.length(base) > 3), short(1)).when(~base.endswith("s"), F.concat(base, F.lit("s")))
+    y = F.when(base.endswith("ies") & (F.length(base) > 4), F.concat(short(3), F.lit("y"))).when(base.endswith("y"), F.concat(short(1), F.lit("ies")))
+    return F.array_compact(F.array(base, s, y))
+
+
+def label_score(asked: Column, found: Column) -> Column:
+    """Of two labels in match form: 5 if equal or the same but for number, 3 if one holds the other, else 0."""
+    some = (asked != "") & (found != "")
+    held = asked.contains(found) | found.contains(asked)
+    return F.when(~some, 0.0).when(asked == found, EXACT).when(held, PART).when(F.arrays_overlap(_numbers(asked), _numbers(found)), EXACT).otherwise(0.0)
+
+
+def against(asked: DataFrame, rows: DataFrame, on: Column) -> DataFrame:
+    """A stated batch of questions against all rows, in broadcast blocks of about BLOCK questions."""
+    n = max(1, -(-asked.count() // BLOCK))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(n))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(asked.where(block == k) if n > 1 else asked), on) for k in range(n)])
+
+
+def match(asked: DataFrame, graph: DataFrame, k: int = 5) -> DataFrame:
+    """The k best matches of questions (``question_id, kind, entity, relation``) in edges: ``question_id, rank, entity, edge_id, score, sentence``.
+
+    Forward and definition questions match the source and answer the target, reverse ones the other way round. A
+    definition without an edge that defines it answers the best node. Ties go to the smaller sentence, then entity.
+    """
+    asked = asked.where("kind in ('forward', 'reverse', 'definition')").select("question_id", "kind", F.col("relation").alias("_r"), match_form(F.col("entity")).alias("_q"))
+    c = F.col
+    rel = F.when(c("kind") == "definition", c("relation").isin(list(DEFINING))).otherwise(c("relation") == c("_r"))
+    end = F.when(c("kind") == "reverse", match_form(c("target"))).otherwise(match_form(c("source")))
+    by = label_score(c("_q"), end)
+    found = against(asked, graph, rel & (by > 0))
+    bonus = F.when(F.coalesce("sentence", F.lit("")) != "", 1.0).otherwise(0.0)
+    found = found.select("question_id", F.when(c("kind") == "reverse", c("source")).otherwise(c("target")).alias("entity"), "edge_id", (by + RELATION + bonus).alias("score"), "sentence")
+    nodes = graph.select(F.explode(F.array("source", "target")).alias("entity")).distinct()
+    seed = label_score(c("_q"), match_form(c("entity")))
+    lone = asked.where("kind = 'definition'").join(found, "question_id", "left_anti")
+    seeds = against(lone, nodes, seed > 0).groupBy("question_id").agg(F.min(F.struct((-seed).alias("s"), "entity")).alias("_b"))
+    seeds = seeds.select("question_id", "_b.entity", F.lit("").alias("edge_id"), (EXACT - c("_b.s")).alias("score"), F.lit("").alias("sentence"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "sentence", F.lower("entity"))
+    both = found.unionByName(seeds).dropDuplicates(["question_id", "entity", "edge_id"])
+    return both.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
+
+
+def answers(asked: DataFrame, matches: DataFrame, items: int = 10) -> DataFrame:
+    """``question_id, answer, confidence_score`` where the best match reaches LEAST_ANSWER: a numbered list of distinct entities and up to six sentences."""
+    first = lambda column: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", column))), lambda x: x[column]))
+    rows = matches.groupBy("question_id").agg(F.max("score").alias("confidence_score"), first("entity").alias("_e"), first("sentence").alias("_s")).where(F.col("confidence_score") >= LEAST_ANSWER)
+    rows = rows.join(asked.select("question_id", "kind", F.col("entity").alias("_q"), F.col("relation").alias("_r")), "question_id")
+    said = F.coalesce(*[F.when(F.col("_r") == a, b) for a, b in SHOWN.items()], "_r")
+    intro = F.when(F.col("kind") == "reverse", F.concat(F.lit("The following items implement "), "_q", F.lit(":"))).otherwise(F.concat("_q", F.lit(" "), said, F.lit(":")))
+    body = F.array_join(F.transform(F.slice("_e", 1, items), lambda e, n: F.concat((n + 1).cast("string"), F.lit(". "), e)), "\n")
+    told = F.slice(F.filter("_s", lambda x: x != ""), 1, 6)
+    proof = F.when(F.size(told) > 0, F.concat(F.lit("\n\nSupporting source sentences:\n"), F.array_join(F.transform(told, lambda x: F.concat(F.lit("- "), x)), "\n"))).otherwise("")
+    return rows.select("question_id", F.concat(intro, F.lit("\n"), body, proof).alias("answer"), "confidence_score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import headings as h
 from quillspark.functions import text as t
@@ -105,7 +106,7 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return chunks.drop("_run")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _pieces(lengths: pd.Series) -> pd.Series:
     """The piece of each line of a long paragraph: a new one starts where the next line would exceed MAX_CHARS."""
 

@@ -4,23 +4,26 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import intent, text
-from quillspark.operators import graph, index, structure
-from quillspark.plans import catalog
+from quillspark.functions import headings, intent, phrases, text
+from quillspark.operators import evaluate, graph, index, schema, sections, structure
+from quillspark.plans import answers, catalog, outline
 from quillspark.sources import files
 
+SQL = catalog.SQL | outline.SQL | answers.SQL
+QUERIES = catalog.QUERIES | outline.QUERIES | answers.QUERIES
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    rel = con.execute(catalog.SQL[name])
+    rel = con.execute(SQL[name])
     names = [d[0] for d in rel.description]
-    got = catalog.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, rel.fetchall()))
 
@@ -84,3 +87,87 @@ def test_text_files(spark, tmp_path):
     by = {r.file_name: r for r in found.collect()}
     assert by["a.txt"].text == "one\ntwo\nthree" and by["a.txt"].warning is None and by["b.txt"].text == "café" and by["b.txt"].warning
     assert [r.file_name for r in files.new_documents(found, found.where("file_name = 'b.txt'")).collect()] == ["a.txt"]
+
+
+def test_heading_categories(spark):
+    for title, want in {"Existing Architectures": "architecture", "Design Pattern Overview": "design_pattern", "Overview": None, "Widgets": "widget", "": None}.items():
+        assert one(spark, headings.category, title) == want
+    assert one(spark, headings.category, None) is None and one(spark, headings.category_name, "Common policies here") == "common_policy_here"
+
+
+def test_layout_and_category_headings(spark):
+    doc = "Existing Architectures\n\nThe first architecture is old.\n\nCommon Ways of Working\n\nwords go on here.\nNot A Heading\nmore"
+    rows = structure.headings(structure.lines(spark.createDataFrame([(1, doc)], "doc_id long, text string")))
+    assert [r.title for r in rows.where("title is not null").orderBy("line_no").collect()] == ["Existing Architectures", "Common Ways of Working"]
+
+
+def test_clean_phrase(spark):
+    for raw, want in {"the classic qa pipeline which is old": "Classic QA pipeline", " a Graph Store, and more": "Graph Store", "LLM based Thing.": "LLM based Thing", "": ""}.items():
+        assert one(spark, phrases.clean, raw) == want
+    assert one(spark, phrases.clean, None) is None
+
+
+def _packed(lines, most=1200):
+    """Pieces of a paragraph by the rule, line by line."""
+    made, now, used = [], [], 0
+    for line in lines:
+        need = len(line) + (1 if now else 0)
+        if now and used + need > most:
+            made, now, used = [*made, now], [], 0
+            need = len(line) + 1
+        now, used = [*now, line], used + need
+    return [*made, now]
+
+
+def test_overflow_pieces_and_overlap(spark):
+    body = [f"line {n} " + "x" * (n * 7 % 300) for n in range(60)] + ["y" * 3000, "end"]
+    docs = spark.createDataFrame([(1, "\n".join(body)), (2, "short"), (3, ""), (4, None)], "doc_id long, text string")
+    got = structure.chunks(structure.lines(docs)).orderBy("doc_id", "start_line").collect()
+    want = _packed(body)
+    texts = ["\n".join(p) if n == 0 else "\n".join([want[n - 1][-1], *p]) for n, p in enumerate(want)]
+    assert [r.text for r in got if r.doc_id == 1] == texts and {r.chunk_type for r in got if r.doc_id == 1} == {"overflow"}
+    assert [(r.doc_id, r.chunk_type) for r in got if r.doc_id > 1] == [(2, "paragraph")]
+
+
+def test_document_tree(spark):
+    doc = "lost\n\n# Title\n\nThe title is here. It runs on.\n- item one\na | b\nmore text"
+    rows = structure.lines(spark.createDataFrame([(1, doc)], "doc_id long, text string"))
+    found = structure.sections(rows)
+    nodes = structure.tree(structure.assign_sections(structure.chunks(rows), found), found)
+    got = [(r.node_type, r.text) for r in nodes.orderBy("ord").collect()]
+    assert got == [("section", "Title"), ("paragraph", "The title is here. It runs on."), ("sentence", "The title is here."), ("sentence", "It runs on."), ("list_item", "- item one"), ("table_row", "a | b"), ("paragraph", "more text"), ("sentence", "more text")]
+    assert structure.section_texts(nodes).first().text == "The title is here. It runs on.\n\n- item one\n\na | b\n\nmore text"
+
+
+def test_schema_from_sentences(spark):
+    said = ["The first architecture is the Classic QA pipeline.", "The second architecture is a Graph store, which is new.", "The first one is", "Engine depends on fast index.", "engine depends on Fast index."]
+    rows = spark.createDataFrame([(1, "architecture", n, x) for n, x in enumerate(said)], "doc_id long, category string, ord int, sentence string")
+    g = schema.grammars(rows).collect()
+    assert [(r.hits, r.ordinals, list(r.type_phrases), round(r.confidence, 2)) for r in g] == [(2, 2, ["architecture"], 0.89)]
+    assert [r.entity for r in schema.enumerated(rows).orderBy("ord").collect()] == ["Classic QA pipeline", "Graph store"]
+    assert [(r.subject, r.relation, r.object) for r in schema.candidates(rows).collect()] == [("Engine", "depends on", "Fast index")]
+
+
+def test_graph_blocks_agree(spark, monkeypatch):
+    edges = spark.createDataFrame([("e1", "search stack", "uses", "connectors", "s"), ("e2", "stacks", "uses", "index", "t")], "edge_id string, source string, relation string, target string, sentence string")
+    asked = spark.createDataFrame([(1, "forward", "Stack", "uses"), (2, "definition", "connector", "definition"), (3, "reverse", "Index", "uses"), (4, "generic", None, None)], "question_id int, kind string, entity string, relation string")
+    whole = sorted(map(tuple, graph.match(asked, edges).collect()))
+    assert [(r[0], r[1], r[3]) for r in whole] == [(1, "connectors", 9.0), (1, "index", 9.0), (2, "connectors", 8.0), (3, "stacks", 11.0)]
+    monkeypatch.setattr(graph, "BLOCK", 1)
+    assert sorted(map(tuple, graph.match(asked, edges).collect())) == whole
+
+
+def test_title_trap(spark):
+    rows = [(1, "a", "Annual Report", 1, 2, "annual_report.txt"), (1, "b", "Report Methods", 3, 30, "annual_report.txt")]
+    found = spark.createDataFrame(rows, "doc_id long, section_id string, title string, start_line int, end_line int, name string")
+    asked = spark.createDataFrame([(1, "explain the annual report")], "question_id int, question string")
+    assert [r.section_id for r in sections.search(asked, found).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_evaluation(spark):
+    cases = spark.createDataFrame([(1, "M", ["Alpha"], ["beta"]), (2, "M", None, None), (3, "N", ["x"], [])], "case_id int, mode string, contains array<string>, not_contains array<string>")
+    given = spark.createDataFrame([(1, "M", "alpha BETA"), (2, "M", None)], "case_id int, mode string, text string")
+    r = evaluate.summary(evaluate.checks(cases, given)).first()
+    assert tuple(r) == (3, 1, 2 / 3, 0.5, 1)
+    empty = evaluate.summary(evaluate.checks(cases.limit(0), given)).first()
+    assert tuple(empty) == (0, 0, 1.0, 1.0, 0)
