@@ -171,3 +171,19 @@ def test_evaluation(spark):
     assert tuple(r) == (3, 1, 2 / 3, 0.5, 1)
     empty = evaluate.summary(evaluate.checks(cases.limit(0), given)).first()
     assert tuple(empty) == (0, 0, 1.0, 1.0, 0)
+
+
+def test_question_shaping(spark):
+    assert one(spark, intent.comparison_terms, "compare a and b?") == ["a", "b"] and one(spark, intent.comparison_terms, "hello") == []
+    assert one(spark, intent.retrieval_query, "What is QA?") == "What is QA? definition means refers to"
+    assert one(spark, intent.retrieval_query, "see REQ-001") == "see REQ-001 REQ-001" and one(spark, intent.retrieval_query, "plain") == "plain"
+    assert [one(spark, intent.wants_sections, q) for q in ("What are phases?", "plain words", "", "A vs B")] == [True, False, False, True]
+    assert one(spark, intent.topic_terms, "what are the architcture requirements") == ["architecture", "architectures", "requirement", "requirements"]
+
+
+def test_clip_and_boost(spark):
+    clip = lambda a, b: one(spark, lambda x: structure.clip_to_section(x, F.lit(5), F.lit(a), F.lit(b)), "a\nb\nc")
+    assert clip(6, 9) == "b\nc" and clip(20, 30) == "a\nb\nc"
+    raised = lambda kind, asked: one(spark, lambda x: sections.boost(F.lit(1.0), x, F.lit(kind), F.array(F.lit("lineage")), F.lit(asked)), "Data Lineage")
+    assert [round(raised(*x), 3) for x in (("paragraph", "GENERAL_SEARCH"), ("section", "EXPLANATION_LOOKUP"), ("section", "GENERAL_SEARCH"))] == [1.62, 0.92, 1.35]
+    assert one(spark, lambda x: sections.boost(F.lit(1.0), x, F.lit("paragraph"), F.array(F.lit("other")), F.lit("X")), None) == 1.0
