@@ -9,9 +9,9 @@ probing levels until one is missing. Probabilities are smoothed towards the unig
     p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 All counts on this line are the filter's. The base score uses exact unigram counts instead, held as sorted
-hash and count arrays; these are broadcast in parts of at most ``PART_BYTES``, one pass over the texts for
-each part. The filter is held under ``FILTER_BYTES`` by entering word pairs only from a least count on; the
-least count is 1 until the pairs of the whole corpus outgrow the bound, and it is derived from all counts.
+hash and count arrays. Every word and word pair is entered, whatever their number: the shards' bits and exact
+counts are broadcast in parts of at most ``PART_BYTES`` (one shard at least), one pass over the texts for each
+part. Between passes a text carries two bytes for each token, the levels found so far of its word and its pair.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from quillspark.llm.common import Scratch, WordHash, blobs, bounded_batches, fol
 
 BASE, PRIOR = 1.5, 150.0
 BITS_PER_ENTRY, PROBES = 12, 6
-FILTER_BYTES = 1 << 30
 PART_BYTES = 1 << 28
 #: Bytes of training text for each shard, and of text for each block of counts that a task sends.
 SHARD_TEXT, BLOCK_TEXT = 8 << 20, 16 << 20
@@ -134,8 +133,8 @@ def _combine(shard_bits: int):
     return run
 
 
-def _build(shard_bits: int, least: int):
-    """A shard's bits. Its words and word pairs share them."""
+def _build(shard_bits: int, _: int = 1):
+    """A shard's bits. Its words and word pairs share them, those seen once too. The second argument has no effect."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iat[0])
@@ -145,9 +144,8 @@ def _build(shard_bits: int, least: int):
             if kind == 1:
                 keys.append(_narrow(np.frombuffer(h, np.uint64), shard_bits, 1))
             else:
-                h, c = np.frombuffer(h, np.uint32)[c >= least], c[c >= least]
-                keys.append(_pair_key(h.astype(np.uint64), np.uint64(shard)))
-            levels.append(level(c) if len(c) else c)
+                keys.append(_pair_key(np.frombuffer(h, np.uint32).astype(np.uint64), np.uint64(shard)))
+            levels.append(level(c))
         key, top = np.concatenate(keys), np.concatenate(levels)
         bits = max(64, -(-int(top.sum()) * BITS_PER_ENTRY // 8) * 8)
         filled = np.zeros(bits, bool)
@@ -173,7 +171,7 @@ def _pair_key(low: np.ndarray, shard: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """The shards' bits side by side, and the numbers that scores need."""
+    """The bits of some or all shards side by side, and the numbers that scores need. Shards that aren't there hold nothing."""
 
     def __init__(self, shards: list[tuple[int, bytes]], shard_bits: int, totals: dict[str, int]):
         self.shard_bits, self.totals = shard_bits, totals
@@ -201,28 +199,34 @@ class Filter:
             j += 1
         return out
 
-    def words(self, h: np.ndarray) -> np.ndarray:
-        return self.counts(self.levels(_narrow(h, self.shard_bits, 1), (h >> np.uint64(64 - self.shard_bits)).astype(np.int64)))
+    def word_levels(self, h: np.ndarray) -> np.ndarray:
+        return self.levels(_narrow(h, self.shard_bits, 1), (h >> np.uint64(64 - self.shard_bits)).astype(np.int64))
 
-    def pairs(self, g: np.ndarray) -> np.ndarray:
+    def pair_levels(self, g: np.ndarray) -> np.ndarray:
         shard = g >> np.uint64(64 - self.shard_bits)
         low = g >> np.uint64(32 - self.shard_bits) & np.uint64(0xFFFFFFFF)
-        return self.counts(self.levels(_pair_key(low, shard), shard.astype(np.int64)))
+        return self.levels(_pair_key(low, shard), shard.astype(np.int64))
+
+    def words(self, h: np.ndarray) -> np.ndarray:
+        return self.counts(self.word_levels(h))
+
+    def pairs(self, g: np.ndarray) -> np.ndarray:
+        return self.counts(self.pair_levels(g))
 
     @staticmethod
     def counts(levels: np.ndarray) -> np.ndarray:
         """The least count of a level; 0 for level 0."""
-        return np.where(levels > 0, np.ceil(BASE ** (levels - 1.0) - 1e-9), 0.0)
+        return np.where(levels > 0, np.ceil(BASE ** (levels.astype(np.float64) - 1.0) - 1e-9), 0.0)
 
 
-def _scores(model, part, totals: dict[str, int], last: bool, schema: pa.Schema):
-    """Adds a part of the exact counts to the base; with the last part, the model's score."""
+def _scores(part, totals: dict[str, int], first: bool, last: bool, schema: pa.Schema):
+    """Adds a part of the exact counts to the base and of the filter to the levels; with the last part, the model's score."""
     n, v, ends = totals["n"], totals["v"], totals["ends"]
     below = n + 0.1 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash(100_000)
-        low, high, hashes, counts = part.value
+        low, high, hashes, counts, model = part.value
         hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint32 if len(counts) * 2 == len(hashes) else np.int64)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
@@ -241,14 +245,27 @@ def _scores(model, part, totals: dict[str, int], last: bool, schema: pa.Schema):
                 row["n_tokens"] = pa.array(size, pa.int64())
                 row["n_known"] = pa.array(batch.column("n_known").to_numpy() + np.bincount(doc, known, len(size)).astype(np.int64))
                 row["base_score"] = pa.array(batch.column("base_score").to_numpy() + np.bincount(doc, base, len(size)))
-                if last:
-                    c = model.value.words(types)[at]
+                pair = pair_hash(before, token)
+                if first and last:
+                    of_word, of_pair = model.word_levels(types)[at], model.pair_levels(pair)
+                else:
+                    held = np.zeros((len(token), 2), np.uint8) if first else np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 2).copy()
+                    of_word, of_pair = held[:, 0], held[:, 1]
+                    own = np.flatnonzero(mine[at])
+                    of_word[own] = model.word_levels(types)[at[own]]
+                    own = np.flatnonzero((pair >= np.uint64(low)) & (pair <= np.uint64(high)))
+                    of_pair[own] = model.pair_levels(pair[own])
+                if not last:
+                    flat, stop = held.tobytes(), 2 * np.cumsum(size)
+                    row["levels"] = pa.array([flat[a:b] for a, b in zip(stop - 2 * size, stop, strict=True)], pa.binary())
+                else:
+                    c = Filter.counts(of_word)
                     p = (c + 0.1) / below
-                    first = before == BEGIN
+                    opening = before == BEGIN
                     prior = np.empty(len(token))
                     prior[1:], prior[:1] = c[:-1], 0
-                    prior[first] = ends
-                    both = model.value.pairs(pair_hash(before, token))
+                    prior[opening] = ends
+                    both = Filter.counts(of_pair)
                     logs = np.log10((np.minimum(both, np.maximum(prior, 0)) + PRIOR * p) / (prior + PRIOR))
                     row["score"] = pa.array(np.bincount(doc, logs, len(size)))
                 yield pa.RecordBatch.from_arrays([row[f.name].cast(f.type) for f in schema], schema=schema)
@@ -276,26 +293,18 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     about = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("types").alias("v")).collect()}
     totals = {"n": about[1].n if about else 0, "v": about[1].v if about else 0, "ends": size.ends}
 
-    spread = counted.select("kind", F.posexplode("levels").alias("level", "types")).groupBy("kind", "level").agg(F.sum("types").alias("types")).collect()
-    least, room = 1, FILTER_BYTES * 8 / BITS_PER_ENTRY - sum(r.level * r.types for r in spread if r.kind == 1)
-    for r in sorted((r for r in spread if r.kind == 2), key=lambda r: -r.level):
-        room -= r.level * r.types
-        if room < 0:
-            least = math.ceil(BASE**r.level - 1e-9)
-            break
-    built = counted.select("kind", "shard", "hashes", "counts").groupBy("shard").applyInPandas(_build(shard_bits, least), "shard int, bits binary")
-    shards = [(r.shard, bytes(r.bits)) for r in built.toLocalIterator()]
-    model = spark.sparkContext.broadcast(Filter(shards, shard_bits, totals))
-    del shards
-
-    types = {r.shard: r.types for r in counted.where("kind = 1").select("shard", "types").collect()}
+    built = counted.select("kind", "shard", "hashes", "counts").groupBy("shard").applyInPandas(_build(shard_bits), "shard int, bits binary")
+    built = scratch.save(built, "filter")
+    need = dict(built.select("shard", F.octet_length("bits")).collect())
+    for r in counted.where("kind = 1").select("shard", "types").collect():
+        need[r.shard] += 16 * r.types
     ranges, held = [], 0
     for s in range(1 << shard_bits):
-        if not ranges or held + 16 * types.get(s, 0) > PART_BYTES:
+        if not ranges or held + need.get(s, 0) > PART_BYTES:
             ranges.append([s, s])
             held = 0
         ranges[-1][1] = s
-        held += 16 * types.get(s, 0)
+        held += need.get(s, 0)
     down = 64 - shard_bits
     rows = plain.withColumns({"n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0)})
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64()}
@@ -306,13 +315,19 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
         for r in own:
             hashes += r.hashes
             counts += np.frombuffer(r.counts, np.int64).astype(np.uint32).tobytes() if narrow else r.counts
-        part = spark.sparkContext.broadcast((low << down, (high + 1 << down) - 1, bytes(hashes), bytes(counts)))
-        del hashes, counts
+        shards = [(r.shard, bytes(r.bits)) for r in built.where(F.col("shard").between(low, high)).toLocalIterator()]
+        model = Filter(shards, shard_bits, totals)
+        del shards
+        part = spark.sparkContext.broadcast((low << down, (high + 1 << down) - 1, bytes(hashes), bytes(counts), model))
+        del hashes, counts, model
         last = i == len(ranges) - 1
-        schema = pa.schema([*kinds.items(), ("score", pa.float64()) if last else ("text", pa.string())])
-        rows = rows.mapInArrow(_scores(model, part, totals, last, schema), sql + (", score double" if last else ", text string"))
+        schema = pa.schema([*kinds.items(), *([("score", pa.float64())] if last else [("text", pa.string()), ("levels", pa.binary())])])
+        rows = rows.mapInArrow(_scores(part, totals, i == 0, last, schema), sql + (", score double" if last else ", text string, levels binary"))
         if not last:
             rows = scratch.save(rows, f"pass{i}")
+            part.destroy()
+            if i:
+                scratch.drop(f"pass{i - 1}")
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -200,6 +200,14 @@ def test_lm_in_parts_and_odd_rows(spark, odd, monkeypatch):
     assert all(math.isfinite(r.score) for r in lm.lm_scores(odd, F.lit(True)).collect())
 
 
+def test_lm_enters_every_pair_whatever_the_bounds(spark, monkeypatch):
+    want = {r.doc_id: r for r in lm.op5_lm_scoring(spark, SF).collect()}
+    monkeypatch.setattr(lm, "FILTER_BYTES", 20_000, raising=False)  # a bound on what is entered, if there is one
+    monkeypatch.setattr(lm, "PART_BYTES", 20_000)
+    got = {r.doc_id: r for r in lm.op5_lm_scoring(spark, SF).collect()}
+    assert all(math.isclose(got[d].score, r.score, rel_tol=1e-9) for d, r in want.items())
+
+
 def test_filter_keeps_levels():
     h = common.mix(np.arange(5000, dtype=np.uint64))
     built = lm._build(3, 1)
