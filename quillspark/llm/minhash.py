@@ -13,8 +13,13 @@ neighbours of another component. It notes (document, component) and not pairs: t
 against every member of the component, in blocks, by an index of the block's shingles. A large group of copies is
 one component after the first pass, so only its outliers are left, and they miss no member.
 
+No row distance ends the search. The rows of an order that share their first ``RUN_DEPTH`` values are a run. A
+run of at most REACH + 1 rows lies within reach; longer ones are held whole in a third step: all their rows of
+different components meet in pairs of blocks, on the full sets. No range partition splits a run.
+
 The sketch (128 values of 4 bits) only skips pairs five standard deviations below the threshold. For a
-pair at similarity 0.8 the chance that no order puts it together at depth 4 is about 3e-5.
+pair at similarity 0.8 the chance that no order puts it into one run is (1 - 0.8^4)^20, about 3e-5, in regions
+of any density.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ PERMUTATIONS = 128
 #: Neighbours up to this many rows away need MIN_DEPTH equal values; beyond, all DEPTH of them.
 REACH, MIN_DEPTH = 32, 3
 BLOCK = 200_000
+#: Equal first values that make a run, and the rows of a block of a long run.
+RUN_DEPTH, RUN_ROWS = 4, 1024
 #: Components of up to SMALL members are met as pairs, larger ones in blocks of MEMBERS members and PROBES documents.
 SMALL, MEMBERS, PROBES = 8, 256, 1024
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; more are joined.
@@ -105,13 +112,18 @@ def _sign(width: int):
 _ZEROS = np.array([(b < 16) + (b % 16 == 0) for b in range(256)], np.uint8)
 
 
+def _least(similarity: float) -> int:
+    """Equal sketch values below which a pair is skipped."""
+    share = similarity + (1 - similarity) / 16
+    return int(PERMUTATIONS * share - 5 * np.sqrt(PERMUTATIONS * share * (1 - share)))
+
+
 def _neighbours(similarity: float, cross: bool):
     """Candidates of the sorted orders: pairs of nodes, nearest first, as long as one of the two is in no pair yet.
 
     cross: a node and the label of another component that it is near to, with the larger component as the label.
     """
-    share = similarity + (1 - similarity) / 16
-    least = int(PERMUTATIONS * share - 5 * np.sqrt(PERMUTATIONS * share * (1 - share)))
+    least = _least(similarity)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
 
     def pairs(key, node, n, sketch, label, weight) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -192,7 +204,7 @@ def _forest(signed: DataFrame, similarity: float, cross: bool) -> DataFrame:
     """signed: one row for each node, with ``label, weight``. Candidates a, b, each once, with the number of equal sketch values."""
     rows = signed.select("node", "n_shingles", "sketch", "label", "weight", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select("tree", F.expr(f"substring(keys, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "node", "n_shingles", "sketch", "label", "weight")
-    rows = rows.repartitionByRange(partitions(signed.sparkSession), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    rows = rows.repartitionByRange(partitions(signed.sparkSession), "tree", F.expr(f"substring(key, 1, {2 * RUN_DEPTH})")).sortWithinPartitions("tree", "key", "node")
     return rows.mapInArrow(_neighbours(similarity, cross), "a long, b long, m int").groupBy("a", "b").agg(F.max("m").alias("m"))
 
 
@@ -253,6 +265,43 @@ def _meet(percent: int):
     return run
 
 
+def _runs():
+    """For all orders, the hash of the order and a row's first values there. Rows of equal hashes are a run."""
+    return F.array(*[F.expr(f"xxhash64({t}, substring(keys, {2 * DEPTH * t + 1}, {2 * RUN_DEPTH}))") for t in range(TREES)])
+
+
+def _within(percent: int):
+    """Links in a pair of blocks of a run, between rows of different components that share no run of an earlier order."""
+    least = _least(percent / 100)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        node, n, label, block = (group[c].to_numpy() for c in ("node", "n_shingles", "label", "block"))
+        low, high, tree = int(group["low"].iat[0]), int(group["high"].iat[0]), int(group["tree"].iat[0])
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        before = np.array([r[:tree] for r in group["runs"]], np.int64).reshape(len(group), tree)
+        held = [np.frombuffer(x, np.uint64) for x in group["values"]]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        values = np.concatenate([held[k] for k in right]) if len(right) else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(right, n[right])[order]
+        links: list[tuple[int, int]] = []
+        for x in left:
+            other = right[right > x] if low == high else right
+            other = other[(label[other] != label[x]) & (100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x]))]
+            other = other[_ZEROS[sketch[other] ^ sketch[x]].sum(axis=1, dtype=np.int32) >= least]
+            other = other[~(before[other] == before[x]).any(axis=1)]
+            if not len(other):
+                continue
+            start, end = np.searchsorted(values, held[x], "left"), np.searchsorted(values, held[x], "right")
+            span = end - start
+            at = np.repeat(start - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+            shared = np.bincount(owner[at], minlength=len(group))[other]
+            links += [(node[x], node[y]) for y in other[100 * shared >= percent * (n[other] + n[x] - shared)]]
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
 def _outliers(near: DataFrame, place: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of documents ``x`` to members of the component ``label``, every member tried."""
     deal = near.groupBy("label").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
@@ -282,14 +331,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.save(classes, "classes")
     one = signed.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "node"), ["node", "doc_id"]).dropDuplicates(["node"]).withColumns({"label": F.col("node"), "weight": F.lit(1).cast("long")})
+    one = scratch.save(one, "one")
     pairs = scratch.save(_forest(one, similarity, cross=False), "pairs")
 
     touched = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "touched")
-    ids = touched.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
-    n_ids = touched.count()
-    texts = plain.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "node long, values binary").join(touched, "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.save(sets, "sets")
+
+    def gather(nodes: DataFrame) -> DataFrame:
+        ids = nodes.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
+        texts = plain.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        return texts.mapInArrow(_sets(width), "node long, values binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    sets = scratch.save(gather(touched), "sets")
 
     def confirm(chosen: DataFrame) -> DataFrame:
         both = chosen.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
@@ -321,13 +373,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     near = scratch.save(near, "near")
     few = near.where(F.col("weight") <= SMALL).join(place, "label").select(F.col("x").alias("a"), F.col("node").alias("b"))
     links3 = scratch.save(confirm(few).union(_outliers(near.where(F.col("weight") > SMALL), place, sets, percent)), "links3")
-    labels = components(links.union(links2).union(links3), scratch, "cc3")
+    links = links.union(links2).union(links3)
+    labels = components(links, scratch, "cc3")
+    # Last the runs longer than the reach, whole, where they hold more than one component.
+    long = one.select(F.explode(_runs()).alias("run")).groupBy("run").count().where(F.col("count") > REACH + 1).select("run")
+    long = scratch.save(long, "long")
+    if not long.isEmpty():
+        rows = one.select("node", F.posexplode(_runs()).alias("tree", "run")).join(long, "run", "left_semi").join(labels, "node", "left")
+        rows = scratch.save(rows.withColumn("label", F.coalesce("label", "node")), "inlong")
+        mixed = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
+        rows = scratch.save(rows.join(mixed.select("run", F.ceil(F.col("n") / RUN_ROWS).cast("int").alias("blocks")), "run"), "mixed")
+        fresh = scratch.save(rows.select("node").distinct().join(touched, "node", "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            sets = sets.union(scratch.save(gather(fresh), "sets2"))
+        rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        rows = rows.select("node", "label", "tree", "run", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        rows = rows.join(one.select("node", "n_shingles", "sketch", _runs().alias("runs")), "node").join(sets, "node")
+        links4 = rows.groupBy("run", "low", "high").applyInPandas(_within(percent), "u long, v long")
+        links4 = scratch.save(links4, "links4")
+        if not links4.isEmpty():
+            labels = components(links.union(links4), scratch, "cc4")
 
     member = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = member.where("label != node or copies > 1").unionByName(member.where("label = node and copies = 1"))
     lowest = lowest.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = member.join(lowest, "label").where("copies > 1 or component_id != rep").select("node", "component_id")
-    for name in ("pairs", "sets", "rest"):
+    for name in ("pairs", "sets", "sets2", "rest", "one", "inlong", "mixed"):
         scratch.drop(name)
     rows = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -103,6 +103,26 @@ def test_a_large_group_of_near_copies_is_whole(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == dict(enumerate(group))
 
 
+def test_near_duplicates_of_a_dense_region(spark, monkeypatch):
+    """Variants of a template below the threshold, and pairs of them above it: none is missed, however short the reach."""
+    monkeypatch.setattr(minhash, "REACH", 2)
+    rng = np.random.default_rng(11)
+    base, texts, serial = [f"t{i}" for i in range(300)], [], 0
+    for _ in range(700):
+        middle = list(base)
+        for at in rng.choice(300, 8, replace=False):
+            middle[at], serial = f"v{serial}", serial + 1
+        for _ in "ab":
+            one = list(middle)
+            for at in rng.choice(300, 8, replace=False):
+                one[at], serial = f"v{serial}", serial + 1
+            texts.append(" ".join(one))
+    sets = word_sets(texts, 2)
+    true = [k for k in range(0, len(texts), 2) if 100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()}
+    assert len(true) > 400 and [k for k in true if got[k] != got[k + 1]] == []
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = sorted(minhash.near_duplicates(odd, 2).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     assert [r.doc_id for r in got] == [1, 2, 3, 4, 5, 6, 7, 8, 8, 9, None]
