@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,20 +14,33 @@ from quillspark.functions.headings import let, strip
 ACRONYMS = ("QA", "RDF", "OWL", "SPARQL", "BM25", "LLM", "AI")
 
 
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, r"^[.,;:!?]+|[.,;:!?]+$", "")
+
+
 def _display(word: Column, i: Column) -> Column:
-    bare = F.regexp_replace(word, r"^[.,;:!?]+|[.,;:!?]+$", "")
+    bare = _bare(word)
     head = F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1_000_000))
     shout = (F.length(bare) >= 2) & bare.rlike(r"\p{Lu}") & ~bare.rlike(r"[\p{Ll}\p{Lt}]")
     return F.when(F.upper(bare).isin(list(ACRONYMS)), F.upper(bare)).when(shout, bare).when(i == 0, head).when(bare.rlike(r"^\p{Ll}"), F.lower(bare)).otherwise(bare)
 
 
-def clean(phrase: Column) -> Column:
-    """Without its article, relative clause, what follows : ; or , and outer punctuation; first word capital, acronyms kept."""
+def _clean(phrase: Column, word: Callable[..., Column]) -> Column:
     x = strip(F.regexp_replace(strip(phrase), r"(?i)^(?:the|a|an) ", ""))
     x = F.regexp_replace(x, r"(?is)\s+(?:which|that|where|with)\b.*$", "")
     x = reduce(lambda y, sep: F.substring_index(y, sep, 1), (":", ";", ","), x)
     x = F.regexp_replace(x, r"""^[ \t\n\r.,;:!?"'()\[\]]+|[ \t\n\r.,;:!?"'()\[\]]+$""", "")
-    return let(F.trim(F.regexp_replace(x, r"\s+", " ")), lambda y: F.array_join(F.transform(F.split(y, " "), _display), " "))
+    return let(F.trim(F.regexp_replace(x, r"\s+", " ")), lambda y: F.array_join(F.transform(F.split(y, " "), word), " "))
+
+
+def clean(phrase: Column) -> Column:
+    """Without its article, relative clause, what follows : ; or , and outer punctuation; first word capital, acronyms kept."""
+    return _clean(phrase, _display)
+
+
+def bare(phrase: Column) -> Column:
+    """As clean, but in the case it has."""
+    return _clean(phrase, _bare)
 
 
 def valid_endpoint(value: Column, sentence: Column) -> Column:

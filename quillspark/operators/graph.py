@@ -7,9 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import phrases
+
 # Relation and the words that state it, in order.
-RELATIONS = (("uses", "uses"), ("contains", "contains"), ("includes", "includes"), ("depends_on", r"depends\s+on"), ("refers_to", r"refers\s+to"), ("links_to", r"links\s+to"), ("implements", "implements"), ("contains", r"consists\s+of"))
+RELATIONS = (("uses", "uses"), ("contains", "contains"), ("includes", "includes"), ("depends_on", r"depends\s+on"), ("refers_to", r"refers\s+to"), ("links_to", r"links\s+to"), ("implements", "implements"), ("contains", r"consists\s+of"), ("is_a", r"is(?:\s+the)?"))
 SPLIT = ("contains", "includes")
+# What is no "is a": an ordinal's sentence, and objects of one or two words with such an adjective.
+ORDINAL_IS = r"(?i)(?:the\s+)?(?:first|second|third|fourth|fifth|sixth)\s+.+?\s+is\s+"
+ADJECTIVES = ("nice", "good", "bad", "warm", "cold", "hot", "new", "old", "large", "small", "high", "low")
 
 
 def label(value: Column) -> Column:
@@ -24,18 +29,22 @@ def edge_id(subject: Column, relation: Column, target: Column) -> Column:
 def _stated(name: str, words: str) -> Column:
     """The triples of one relation in a sentence, none if it isn't stated."""
     p = rf"(?i)^(.{{3,80}}?)\s+{words}\s+(.+?)(?:[.!?]|$)"
-    subject, target = F.trim(F.regexp_extract("sentence", p, 1)), F.regexp_extract("sentence", p, 2)
+    subject, target = phrases.bare(F.regexp_extract("sentence", p, 1)), F.regexp_extract("sentence", p, 2)
     parts = F.split(target, r"(?i),|\band\b") if name in SPLIT else F.array(target)
-    made = F.transform(parts, lambda x: F.struct(subject.alias("subject"), F.lit(name).alias("relation"), F.trim(x).alias("object")))
+    made = F.transform(parts, lambda x: F.struct(subject.alias("subject"), F.lit(name).alias("relation"), phrases.bare(x).alias("object")))
     return F.when(F.col("sentence").rlike(p), made).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>"))
 
 
 def triples(sentences: DataFrame) -> DataFrame:
-    """``subject, relation, object, sentence``; lists after contains and includes are one triple for each part."""
+    """``subject, relation, object, sentence``, phrases cleaned in the case they have; lists after contains and includes are one triple for each part."""
     found = F.array(*[_stated(name, words) for name, words in RELATIONS])
+    sentences = sentences.select(F.trim(F.regexp_replace("sentence", r"\s+", " ")).alias("sentence"))
     rows = sentences.select("sentence", F.explode(F.flatten(found)).alias("r")).select("r.*", "sentence")
-    sized = F.length("subject").between(3, 80) & F.length("object").between(3, 80)
-    return rows.where(sized & ~F.concat("subject", "object").rlike(r"(?i)https?://|www\."))
+    rows = rows.where(phrases.valid_endpoint(F.col("subject"), F.col("sentence")) & phrases.valid_endpoint(F.col("object"), F.col("sentence")))
+    words = F.split(F.lower("object"), " ")
+    short = (F.size(words) <= 2) & F.arrays_overlap(words, F.array(*map(F.lit, ADJECTIVES)))
+    vague = F.col("sentence").rlike(ORDINAL_IS) | F.lower("object").contains(" and ") | (F.length("object") > 60) | short
+    return rows.where((F.col("relation") != "is_a") | ~vague)
 
 
 def edges(rows: DataFrame) -> DataFrame:

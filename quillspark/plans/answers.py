@@ -38,6 +38,14 @@ def graph_matches(spark, sf_dir):
     return graph.match(_asked(spark), _graph(spark, sf_dir)).select("question_id", "rank", "entity", "edge_id", "score")
 
 
+def graph_definitions(spark, sf_dir):
+    """What nations and regions are, among sentences that define nothing."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    told = F.array(*[F.concat(*x) for x in (("n_name", F.lit(" is a nation of "), "r_name", F.lit(", which is listed.")), (F.lit("The region "), "r_name", F.lit(" is the home of "), "n_name", F.lit(".")), ("n_name", F.lit(" is large.")), (F.lit("The first nation is "), "n_name", F.lit(".")))])
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select(F.explode(told).alias("sentence"))
+    return graph.edges(graph.triples(rows)).select("edge_id", "source", "relation", "target")
+
+
 def graph_answers(spark, sf_dir):
     asked = _asked(spark)
     rows = graph.answers(asked, graph.match(asked, _graph(spark, sf_dir)))
@@ -73,7 +81,7 @@ def evaluation_summary(spark, sf_dir):
     return evaluate.summary(evaluate.checks(cases, given))
 
 
-QUERIES = {f.__name__: f for f in (question_graphs, graph_matches, graph_answers, section_search, schema_categories, schema_candidates, context_windows, evaluation_summary)}
+QUERIES = {f.__name__: f for f in (question_graphs, graph_matches, graph_definitions, graph_answers, section_search, schema_categories, schema_candidates, context_windows, evaluation_summary)}
 
 _V = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
 _G = "q(question_id, kind, entity, relation, category) as (values " + ", ".join(f"({n}, {', '.join(map(_V, q[1:]))})" for n, q in enumerate(ASKED)) + ")"
@@ -95,6 +103,8 @@ _SOUGHT = ", ".join(f"({n}, {_V(q.lower())}, {_V(w)})" for n, (q, w) in enumerat
 SQL = {
     "question_graphs": f"with {_G} select question_id::int as question_id, kind, entity, relation, category from q",
     "graph_matches": f'with {_MATCH} select question_id::int as question_id, "rank"::int as "rank", entity, edge_id, score::double as score from mt',
+    "graph_definitions": """with g as (select lower(n_name) as source, 'nation of ' || lower(r_name) as target from nation join region on n_regionkey = r_regionkey union select 'region ' || lower(r_name), 'home of ' || lower(n_name) from nation join region on n_regionkey = r_regionkey)
+select 'edge-' || substr(sha256(source || '|is_a|' || target), 1, 12) as edge_id, source, 'is_a' as relation, target from g""",
     "graph_answers": f"""with {_MATCH}, a as (select question_id, max(score)::double as confidence_score, list(entity order by "rank") as es from mt group by 1)
 select question_id::int as question_id, confidence_score, case when kind = 'reverse' then 'The following items implement ' || entity || ':' else entity || ' ' || relation || ':' end || chr(10) || array_to_string(list_transform(es, lambda x, n: n || '. ' || x), chr(10)) as answer from a join q using (question_id) where confidence_score >= 8""",
     "section_search": f"""with {_SECTIONS}, q(question_id, q, w) as (values {_SOUGHT}), c as (select question_id, doc_id, section_id, title, start_line, lower(title) as t, {_TOK('title')} as tw, q, {_TOK('q')} as qw, list_filter(string_split(w, ' '), lambda x: x <> '') as ts from q cross join sec),

@@ -79,6 +79,14 @@ def test_triples(spark):
     assert got == [("Enterprise search stack", "uses", "repository connectors"), ("Kit", "contains", "bolts"), ("Kit", "contains", "nuts"), ("Kit", "contains", "screws"), ("Pipeline", "depends_on", "retrieval engine")]
 
 
+def test_is_a_triples_and_definitions(spark):
+    said = ["The  RDF store is the graph index, which is fast.", "Lineage is a record of origins.", "The first design is a graph.", "Soup is warm.", "Tea is hot water.", "Rain is wind and water.", "The engine uses a fast index, and more."]
+    rows = graph.triples(spark.createDataFrame([(x,) for x in said], "sentence string"))
+    assert sorted((r.subject, r.relation, r.object) for r in rows.collect()) == [("Lineage", "is_a", "record of origins"), ("RDF store", "is_a", "graph index"), ("engine", "uses", "fast index")]
+    asked = spark.createDataFrame([(1, "definition", "Lineage", "definition")], "question_id int, kind string, entity string, relation string")
+    assert [(r.entity, r.score) for r in graph.match(asked, graph.edges(rows)).collect()] == [("record of origins", 11.0)]
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\rthree")
     (tmp_path / "b.txt").write_bytes(b"caf\xe9")
