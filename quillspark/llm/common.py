@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,13 +31,15 @@ def fold(doc_id: Column, n: int) -> Column:
 class Scratch:
     """Tables written to the shared folder of the cluster, to cut lineage and to keep a result that several jobs read.
 
-    The folder is that of ``spark.checkpoint.dir``; only where none is set (in tests) is a local one made.
+    The folder is that of ``spark.checkpoint.dir``; only on a local master, where none is set (in tests), is a local one made.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="quillspark-")
             spark.sparkContext.setCheckpointDir(base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -57,13 +59,55 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch limits to these; results don't depend on them."""
+    """Lowers the session's Arrow batch limits to these, and leaves lower ones; results don't depend on them."""
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        now = in_bytes(spark.conf.get(key)) if key.endswith("BytesPerBatch") else int(spark.conf.get(key))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
 
+MARK = b"quillspark-array"
+#: What the pickle of a long bytearray holds before its contents.
+_HEAD = pickle.dumps(bytearray(MARK + bytes(1 << 17)), pickle.HIGHEST_PROTOCOL).find(MARK)
+
+
+class Shared:
+    """Named arrays in one broadcast that the workers of an executor map from the executor's one file of it.
+
+    So an executor holds one copy, in pages that the system may drop and read again, whatever the number of its workers.
+    Filled on the driver through ``array``, sent by ``send``, read in tasks through ``arrays``. Where the file can't
+    be mapped (an encrypted broadcast), the value is loaded as usual.
+    """
+
+    def __init__(self, layout: dict[str, tuple[type, int]]):
+        self.places, at = {}, len(MARK)
+        for name, (kind, n) in layout.items():
+            at += -(_HEAD + at) % 64
+            self.places[name] = (kind, n, at)
+            at += np.dtype(kind).itemsize * n
+        self.data, self.held = bytearray(max(at, 1 << 17)), None
+        self.data[: len(MARK)] = MARK
+
+    def array(self, name: str) -> np.ndarray:
+        kind, n, at = self.places[name]
+        return np.frombuffer(self.data, kind, n, at)
+
+    def send(self, spark: SparkSession) -> Shared:
+        self.held = spark.sparkContext.broadcast(self.data)
+        self.data = None
+        return self
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        path, raw = getattr(self.held, "_path", None), None
+        if path and not hasattr(self.held, "_value"):
+            whole = np.memmap(path, np.uint8, "r")
+            raw = whole[_HEAD:] if bytes(whole[_HEAD : _HEAD + len(MARK)]) == MARK else None
+        if raw is None:
+            raw = np.frombuffer(self.held.value, np.uint8)
+        return {name: np.asarray(raw[at : at + np.dtype(kind).itemsize * n]).view(kind) for name, (kind, n, at) in self.places.items()}
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

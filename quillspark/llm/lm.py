@@ -1,17 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Every training text is counted once: word and word-pair hashes are counted in each task, and blocks of
+Every training text is counted once: word and word-pair hashes (64 bits) are counted in each task, and blocks of
 (hash, count) go to shards by hash, so no frequent word meets in one place. A shard adds its blocks up and
 sets bits for the quantised counts: an n-gram of level j = 1 + floor(log_b count) is entered as (n-gram, 1) to
-(n-gram, j). The filter is the shards' bits side by side; it is broadcast, and a count is read back by
-probing levels until one is missing. Probabilities are smoothed towards the unigram with ``PRIOR`` pseudo-counts:
+(n-gram, j), each as ``PROBES`` bits of one 64-bit word. The filter is the shards' words side by side; a count is read back
+by probing levels until one is missing. Probabilities are smoothed towards the unigram with ``PRIOR`` pseudo-counts:
 
-    p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w | v) = (c(v w) + PRIOR * p(w)) / (C(v) + PRIOR),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-All counts on this line are the filter's. The base score uses exact unigram counts instead, held as sorted
-hash and count arrays. Every word and word pair is entered, whatever their number: the shards' bits and exact
-counts are broadcast in parts of at most ``PART_BYTES`` (one shard at least), one pass over the texts for each
-part. Between passes a text carries two bytes for each token, the levels found so far of its word and its pair.
+c is the least count of a level and C the greatest, so the counts of a word's followers never add up to more than C and the
+probabilities after a word to no more than 1, but for errors of the filter. A pair of a word never seen counts 0. The base
+score uses exact unigram counts instead, held as sorted hash and count arrays.
+
+Every word and word pair is entered, whatever their number. Filter and exact counts of at most ``SHARED_BYTES`` are broadcast in
+parts, and the workers of an executor map one copy of each; larger ones stay in their shards, and the texts' distinct hashes go there
+(``shards.look_up``), with the same scores.
 """
 
 from __future__ import annotations
@@ -25,20 +28,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, WordHash, blobs, bounded_batches, fold, mix, pair_hash, slices, table, words
+from quillspark.llm.common import Scratch, Shared, bounded_batches, fold, mix, pair_hash, slices, table
+from quillspark.llm.shards import look_up, split
+from quillspark.llm.wordhash import column_hashes
 
 BASE, PRIOR = 1.5, 150.0
-BITS_PER_ENTRY, PROBES = 12, 6
-PART_BYTES = 1 << 28
+BITS_PER_ENTRY, PROBES = 16, 5
+#: The most that is broadcast, filter and exact counts together, and the most that the driver holds of it at once (one shard at least).
+SHARED_BYTES, PART_BYTES = 1 << 29, 1 << 26
 #: Bytes of training text for each shard, and of text for each block of counts that a task sends.
 SHARD_TEXT, BLOCK_TEXT = 8 << 20, 16 << 20
 
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
 
 
-def _tokens(seen: WordHash, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice: the hashes of all tokens (each text's words and its end), of the tokens before them, and tokens per text."""
-    flat, n = seen.flat([words(x) for x in texts])
+    flat, n = column_hashes(texts)
     total = len(flat) + len(n)
     ends = np.cumsum(n + 1) - 1
     token = np.empty(total, np.uint64)
@@ -66,219 +72,255 @@ def _tally(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.n
 
 
 def _count(shard_bits: int):
-    """Blocks of counts: words with whole hashes, word pairs with the 32 bits under the shard's."""
+    """Blocks of counts, of words (kind 1) and of word pairs (kind 2)."""
     schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-    down = np.uint64(64 - shard_bits)
 
-    def block(kind: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        cut = np.searchsorted(h >> down, np.arange((1 << shard_bits) + 1, dtype=np.uint64))
-        if kind == 2:
-            h = (h >> np.uint64(32 - shard_bits)).astype(np.uint32)
-        top = c.max(initial=1)
-        c = c.astype(np.uint8 if top < 256 else np.uint64)
-        some = np.flatnonzero(np.diff(cut))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array([h[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), pa.array([c[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())], schema=schema)
+    def block(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        whole = np.concatenate(parts)
+        parts.clear()
+        h, c = _tally(whole)
+        c = c.astype(np.uint8 if c.max(initial=1) < 256 else np.uint64)
+        rows, at = [], 0
+        for s, some in split(h, shard_bits):
+            rows.append((kind, s, some.tobytes(), c[at : at + len(some)].tobytes()))
+            at += len(some)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = WordHash(), {1: [], 2: []}, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, parts in held.items():
-                if parts:
-                    yield block(kind, *_tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
-                    parts.clear()
-
+        held, size = {1: [], 2: []}, 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                texts = blobs(batch.column("text"))
-                token, before, _ = _tokens(seen, texts)
-                held[1].append(_tally(token))
-                held[2].append(_tally(pair_hash(before, token)))
-                size += sum(map(len, texts))
+                token, before, _ = _tokens(batch.column("text"))
+                held[1].append(token)
+                held[2].append(pair_hash(before, token))
+                size += batch.nbytes
                 if size >= BLOCK_TEXT:
-                    yield from flush()
+                    yield from (block(kind, parts) for kind, parts in held.items())
                     size = 0
-        yield from flush()
+        if held[1]:
+            yield from (block(kind, parts) for kind, parts in held.items())
 
     return run
 
 
-def _entry(key: np.ndarray, level: int) -> np.ndarray:
-    return mix(key + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-
-
-def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Positions of an entry, by double hashing; the high half of a 32 x 32 bit product maps to the range."""
-    a, b = h >> np.uint64(32), h & np.uint64(0xFFFFFFFF) | np.uint64(1)
-    for k in range(PROBES):
-        yield ((a + np.uint64(k) * b & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
-
-
 def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _combine(shard_bits: int):
-    """One shard: word counts as arrays, word pairs as keys and counts."""
+_LEVELS = np.arange(130, dtype=np.float64)
+_LEAST = np.where(_LEVELS > 0, np.ceil(BASE ** (_LEVELS - 1.0) - 1e-9), 0.0)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kind, shard = int(group["kind"].iat[0]), int(group["shard"].iat[0])
-        wide = np.uint64 if kind == 1 else np.uint32
-        hs = [np.frombuffer(x, wide) for x in group["hashes"]]
-        cs = [np.frombuffer(c, np.uint8 if len(c) == len(h) else np.uint64).astype(np.int64) for h, c in zip(hs, group["counts"], strict=True)]
-        h, c = _tally(np.concatenate(hs), np.concatenate(cs))
-        levels = np.bincount(level(c))
-        return pd.DataFrame({"kind": [kind], "shard": [shard], "hashes": [h.tobytes()], "counts": [c.tobytes()], "n": [int(c.sum())], "types": [len(h)], "levels": [levels.tolist()]})
 
-    return run
+def least(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 for level 0."""
+    return _LEAST[levels]
 
 
-def _build(shard_bits: int, _: int = 1):
-    """A shard's bits. Its words and word pairs share them, those seen once too. The second argument has no effect."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        shard = int(group["shard"].iat[0])
-        keys, levels = [], []
-        for kind, h, c in zip(group["kind"], group["hashes"], group["counts"], strict=True):
-            c = np.frombuffer(c, np.int64)
-            if kind == 1:
-                keys.append(_narrow(np.frombuffer(h, np.uint64), shard_bits, 1))
-            else:
-                keys.append(_pair_key(np.frombuffer(h, np.uint32).astype(np.uint64), np.uint64(shard)))
-            levels.append(level(c))
-        key, top = np.concatenate(keys), np.concatenate(levels)
-        bits = max(64, -(-int(top.sum()) * BITS_PER_ENTRY // 8) * 8)
-        filled = np.zeros(bits, bool)
-        j = 1
-        while len(key):
-            for place in _places(_entry(key, j), bits):
-                filled[place] = True
-            j += 1
-            key, top = key[top >= j], top[top >= j]
-        return pd.DataFrame({"shard": [shard], "bits": [np.packbits(filled, bitorder="little").tobytes()]})
+def greatest(levels: np.ndarray) -> np.ndarray:
+    """The greatest count of a level; 0 for level 0."""
+    return np.where(levels > 0, _LEAST[np.asarray(levels, np.int64) + 1] - 1, 0.0)
 
-    return run
 
+def _combine(group: pd.DataFrame) -> pd.DataFrame:
+    """One shard: hashes and counts as arrays, of words or of word pairs."""
+    hs = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
+    cs = [np.frombuffer(c, np.uint8 if len(c) * 8 == len(h) else np.uint64).astype(np.int64) for h, c in zip(group["hashes"], group["counts"], strict=True)]
+    h, c = _tally(np.concatenate(hs), np.concatenate(cs))
+    return pd.DataFrame({"kind": [int(group["kind"].iat[0])], "shard": [int(group["shard"].iat[0])], "hashes": [h.tobytes()], "counts": [c.tobytes()], "n": [int(c.sum())], "types": [len(h)]})
 
-def _narrow(h: np.ndarray, shard_bits: int, kind: int) -> np.ndarray:
-    """The key of a word."""
+
+def _key(h: np.ndarray, kind: int) -> np.ndarray:
+    """The key of a word (kind 1) or a word pair (kind 2) in the filter."""
     return mix(h ^ np.uint64(kind))
 
 
-def _pair_key(low: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """The key of a word pair, from the 32 bits that were kept and its shard."""
-    return mix(low << np.uint64(24) ^ shard ^ np.uint64(2))
+def _entry(key: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The word of an entry, out of ``size``, and its bits there."""
+    h = mix(key + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+    bits = np.zeros(len(h), np.uint64)
+    for k in range(PROBES):
+        bits |= np.uint64(1) << (h >> np.uint64(6 * k) & np.uint64(63))
+    return ((h >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), bits
+
+
+def _build(group: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter, words and word pairs together, and the exact counts of its words."""
+    keys, levels, known = [], [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for kind, h, c in zip(group["kind"], group["hashes"], group["counts"], strict=True):
+        h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+        keys.append(_key(h, int(kind)))
+        levels.append(level(c))
+        known = (h, c) if kind == 1 else known
+    key, top = np.concatenate(keys), np.concatenate(levels)
+    size = max(1, -(-int(top.sum()) * BITS_PER_ENTRY // 64))
+    filled, j = np.zeros(size, np.uint64), 1
+    while len(key):
+        for at in range(0, len(key), 1 << 18):
+            word, bits = _entry(key[at : at + (1 << 18)], j, np.uint64(size))
+            np.bitwise_or.at(filled, word, bits)
+        j += 1
+        key, top = key[top >= j], top[top >= j]
+    return pd.DataFrame({"shard": [int(group["shard"].iat[0])], "filter": [filled.tobytes()], "hashes": [known[0].tobytes()], "counts": [known[1].tobytes()]})
 
 
 class Filter:
-    """The bits of some or all shards side by side, and the numbers that scores need. Shards that aren't there hold nothing."""
-
-    def __init__(self, shards: list[tuple[int, bytes]], shard_bits: int, totals: dict[str, int]):
-        self.shard_bits, self.totals = shard_bits, totals
-        self.bits = np.zeros(1 << shard_bits, np.int64)
-        for s, b in shards:
-            self.bits[s] = len(b) * 8
-        self.start = np.concatenate([[0], np.cumsum(self.bits)[:-1]])
-        self.data = b"".join(b for _, b in sorted(shards))
-
-    def levels(self, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """The level of each key, 0 if it isn't in the filter."""
-        data = np.frombuffer(self.data, np.uint8)
-        out = np.zeros(len(key), np.int64)
-        alive = np.flatnonzero(self.bits[shard] > 0)
-        j = 1
+    """The words of some shards side by side, from the shard ``low`` on, and the exact counts of the words that they know."""
+
+    def __init__(self, shard_bits: int, low: int, start: np.ndarray, size: np.ndarray, data: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
+        self.shard_bits, self.low, self.start, self.size, self.data, self.hashes, self.exact = shard_bits, low, start, size, data, hashes, counts
+
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
+        """The level of each word (kind 1) or word pair (kind 2), 0 if it isn't in the filter."""
+        out = np.zeros(len(h), np.uint8)
+        if not len(self.data):
+            return out
+        shard = (h >> np.uint64(64 - self.shard_bits)).astype(np.int64) - self.low
+        key, alive, j = _key(h, kind), np.flatnonzero(self.size[shard] > 0), 1
+        key, size, start = key[alive], self.size[shard[alive]].astype(np.uint64), self.start[shard[alive]]
         while len(alive):
-            s = shard[alive]
-            h, bits, start = _entry(key[alive], j), self.bits[s].astype(np.uint64), self.start[s]
-            a, b = h >> np.uint64(32), h & np.uint64(0xFFFFFFFF) | np.uint64(1)
-            for k in range(PROBES):
-                place = start + ((((a + np.uint64(k) * b) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)).astype(np.int64)
-                hit = (data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                alive, a, b, bits, start = alive[hit], a[hit], b[hit], bits[hit], start[hit]
+            word, bits = _entry(key, j, size)
+            hit = self.data[start + word] & bits == bits
+            alive, key, size, start = alive[hit], key[hit], size[hit], start[hit]
             out[alive] = j
             j += 1
         return out
 
-    def word_levels(self, h: np.ndarray) -> np.ndarray:
-        return self.levels(_narrow(h, self.shard_bits, 1), (h >> np.uint64(64 - self.shard_bits)).astype(np.int64))
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """The exact count of each word, 0 if it was never met."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.exact[at], 0).astype(np.int64)
+
+
+class Parts:
+    """Filters of neighbouring shards that together are the whole."""
+
+    def __init__(self, filters: list[Filter], shard_bits: int):
+        self.filters, self.down = filters, np.uint64(64 - shard_bits)
+        self.last = np.array([f.low + len(f.size) - 1 for f in filters])
+
+    def _each(self, h: np.ndarray, read) -> np.ndarray:
+        part, out = np.searchsorted(self.last, (h >> self.down).astype(np.int64)), np.zeros(len(h), np.int64)
+        for k, f in enumerate(self.filters):
+            own = np.flatnonzero(part == k)
+            out[own] = read(f, h[own])
+        return out
+
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
+        return self._each(h, lambda f, x: f.levels(x, kind))
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return self._each(h, Filter.counts)
+
 
-    def pair_levels(self, g: np.ndarray) -> np.ndarray:
-        shard = g >> np.uint64(64 - self.shard_bits)
-        low = g >> np.uint64(32 - self.shard_bits) & np.uint64(0xFFFFFFFF)
-        return self.levels(_pair_key(low, shard), shard.astype(np.int64))
+def logs(pair: np.ndarray, word: np.ndarray, context: np.ndarray, known: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 p(word | context). pair, word: least counts of the levels; context: the greatest; known: whether the word was met."""
+    p = (word + 0.1) / (n + 0.1 * (v + 1))
+    return np.log10((np.where(known, np.minimum(pair, context), 0.0) + PRIOR * p) / (context + PRIOR))
 
-    def words(self, h: np.ndarray) -> np.ndarray:
-        return self.counts(self.word_levels(h))
 
-    def pairs(self, g: np.ndarray) -> np.ndarray:
-        return self.counts(self.pair_levels(g))
+OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+OUT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-    @staticmethod
-    def counts(levels: np.ndarray) -> np.ndarray:
-        """The least count of a level; 0 for level 0."""
-        return np.where(levels > 0, np.ceil(BASE ** (levels.astype(np.float64) - 1.0) - 1e-9), 0.0)
 
+def _finish(batch, totals: dict[str, int], size: np.ndarray, opening: np.ndarray, at: np.ndarray, exact: np.ndarray, of_type: np.ndarray, of_pair: np.ndarray) -> dict[str, pa.Array]:
+    """The result's columns. at: each token's type; exact, of_type: a type's count and level; of_pair: each token's pair level."""
+    doc = np.repeat(np.arange(len(size)), size)
+    base = np.log10((exact + 0.1) / (totals["n"] + 0.1 * (totals["v"] + 1)))[at]
+    context = np.empty(len(at))
+    context[1:] = greatest(of_type)[at[:-1]]
+    context[opening] = totals["ends"]
+    known = (exact > 0)[at]
+    made = logs(least(of_pair), least(of_type)[at], context, known, totals["n"], totals["v"])
+    add = lambda x: np.bincount(doc, x, len(size))
+    columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(size, pa.int64()), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(add(made))]
+    return dict(zip(OUT.names, columns, strict=True))
 
-def _scores(part, totals: dict[str, int], first: bool, last: bool, schema: pa.Schema):
-    """Adds a part of the exact counts to the base and of the filter to the levels; with the last part, the model's score."""
-    n, v, ends = totals["n"], totals["v"], totals["ends"]
-    below = n + 0.1 * (v + 1)
 
+def _scores(parts: list[tuple[int, np.ndarray, Shared]], shard_bits: int, totals: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash(100_000)
-        low, high, hashes, counts, model = part.value
-        hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint32 if len(counts) * 2 == len(hashes) else np.int64)
+        filters = []
+        for low, start, shared in parts:
+            held = shared.arrays()
+            filters.append(Filter(shard_bits, low, start[:-1], np.diff(start), held["filter"], held["hashes"], held["counts"]))
+        model = Parts(filters, shard_bits)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                token, before, size = _tokens(seen, blobs(batch.column("text")))
-                doc = np.repeat(np.arange(len(size)), size)
+                token, before, size = _tokens(batch.column("text"))
                 types, at = np.unique(token, return_inverse=True)
-                place = np.searchsorted(hashes, types)
-                found = place < len(hashes)
-                found[found] = hashes[place[found]] == types[found]
-                exact = np.zeros(len(types))
-                exact[found] = counts[place[found]]
-                mine = (types >= np.uint64(low)) & (types <= np.uint64(high))
-                base = np.where(mine, np.log10((exact + 0.1) / below), 0.0)[at]
-                known = ((exact > 0) & mine)[at]
-                row = {c: batch.column(c) for c in batch.schema.names}
-                row["n_tokens"] = pa.array(size, pa.int64())
-                row["n_known"] = pa.array(batch.column("n_known").to_numpy() + np.bincount(doc, known, len(size)).astype(np.int64))
-                row["base_score"] = pa.array(batch.column("base_score").to_numpy() + np.bincount(doc, base, len(size)))
-                pair = pair_hash(before, token)
-                if first and last:
-                    of_word, of_pair = model.word_levels(types)[at], model.pair_levels(pair)
-                else:
-                    held = np.zeros((len(token), 2), np.uint8) if first else np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 2).copy()
-                    of_word, of_pair = held[:, 0], held[:, 1]
-                    own = np.flatnonzero(mine[at])
-                    of_word[own] = model.word_levels(types)[at[own]]
-                    own = np.flatnonzero((pair >= np.uint64(low)) & (pair <= np.uint64(high)))
-                    of_pair[own] = model.pair_levels(pair[own])
-                if not last:
-                    flat, stop = held.tobytes(), 2 * np.cumsum(size)
-                    row["levels"] = pa.array([flat[a:b] for a, b in zip(stop - 2 * size, stop, strict=True)], pa.binary())
-                else:
-                    c = Filter.counts(of_word)
-                    p = (c + 0.1) / below
-                    opening = before == BEGIN
-                    prior = np.empty(len(token))
-                    prior[1:], prior[:1] = c[:-1], 0
-                    prior[opening] = ends
-                    both = Filter.counts(of_pair)
-                    logs = np.log10((np.minimum(both, np.maximum(prior, 0)) + PRIOR * p) / (prior + PRIOR))
-                    row["score"] = pa.array(np.bincount(doc, logs, len(size)))
-                yield pa.RecordBatch.from_arrays([row[f.name].cast(f.type) for f in schema], schema=schema)
+                pair = model.levels(pair_hash(before, token), 2)
+                row = _finish(batch, totals, size, before == BEGIN, at, model.counts(types), model.levels(types, 1), pair)
+                yield pa.RecordBatch.from_arrays(list(row.values()), schema=OUT)
 
     return run
 
 
+def _asks(batch) -> list[np.ndarray]:
+    token, before, _ = _tokens(batch.column("text"))
+    return [np.unique(token), np.unique(pair_hash(before, token))]
+
+
+def _answer(shard_bits: int):
+    """Words: exact count * 256 + level. Pairs: level."""
+
+    def answer(known: pa.Table):
+        if not known.num_rows:
+            return lambda kind, data: np.zeros(len(data) // 8, np.uint8 if kind else np.int64)
+        row = {c: known.column(c)[0].as_py() for c in known.column_names}
+        data = np.frombuffer(row["filter"], np.uint64)
+        model = Filter(shard_bits, row["shard"], np.zeros(1, np.int64), np.array([len(data)]), data, np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.int64))
+
+        def reply(kind: int, data: bytes) -> np.ndarray:
+            h = np.frombuffer(data, np.uint64)
+            return model.levels(h, 2) if kind else model.counts(h) << 8 | model.levels(h, 1)
+
+        return reply
+
+    return answer
+
+
+def _join(totals: dict[str, int]):
+    def finish(batch: pa.Table, answers: dict[int, bytes]) -> pa.Table:
+        token, before, size = _tokens(batch.column("text"))
+        _, at = np.unique(token, return_inverse=True)
+        _, pair_at = np.unique(pair_hash(before, token), return_inverse=True)
+        told = np.frombuffer(answers[0], np.int64)
+        row = _finish(batch, totals, size, before == BEGIN, at, told >> 8, told & 255, np.frombuffer(answers[1], np.uint8)[pair_at])
+        return pa.table(list(row.values()), schema=OUT)
+
+    return finish
+
+
+def _share(built: DataFrame, sizes: dict[int, tuple[int, int]], shard_bits: int, totals: dict[str, int]) -> list[tuple[int, np.ndarray, Shared]]:
+    """The shards' arrays, broadcast in parts of neighbouring shards: first shard, where each shard's words begin, arrays."""
+    ranges, held, narrow = [], 0, np.uint32 if totals["n"] < 1 << 32 else np.int64
+    for s in range(1 << shard_bits):
+        f, n = sizes.get(s, (0, 0))
+        if not ranges or held + 8 * f + 16 * n > PART_BYTES:
+            ranges.append([])
+            held = 0
+        ranges[-1].append(s)
+        held += 8 * f + 16 * n
+    parts = []
+    for own in ranges:
+        start, known = (np.concatenate([[0], np.cumsum([sizes.get(s, (0, 0))[k] for s in own])]).astype(np.int64) for k in (0, 1))
+        shared = Shared({"filter": (np.uint64, int(start[-1])), "hashes": (np.uint64, int(known[-1])), "counts": (narrow, int(known[-1]))})
+        for r in built.where(F.col("shard").between(own[0], own[-1])).toLocalIterator():
+            at = r.shard - own[0]
+            shared.array("filter")[start[at] : start[at + 1]] = np.frombuffer(r.filter, np.uint64)
+            shared.array("hashes")[known[at] : known[at + 1]] = np.frombuffer(r.hashes, np.uint64)
+            shared.array("counts")[known[at] : known[at + 1]] = np.frombuffer(r.counts, np.int64)
+        parts.append((own[0], start, shared.send(built.sparkSession)))
+    return parts
+
+
 def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of docs.
 
     Counts come from all rows that aren't held out. Null texts are empty: one token, the end. Rows without an
-    id count as held out. Without training rows every count is 0 and every score finite. Repeated rows count
-    each. Other columns are ignored.
+    id count as held out. Without training rows every count is 0 and every score finite. An empty table gives no rows.
+    Repeated rows count each. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -288,46 +330,19 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     size = train.agg(F.count(F.lit(1)).alias("ends"), F.sum(F.octet_length("text")).alias("bytes")).first()
     shard_bits = min(24, max(3, math.ceil(math.log2(max(1, (size.bytes or 0) / SHARD_TEXT)))))
     blocks = train.mapInArrow(_count(shard_bits), "kind int, shard int, hashes binary, counts binary")
-    counted = blocks.groupBy("kind", "shard").applyInPandas(_combine(shard_bits), "kind int, shard int, hashes binary, counts binary, n long, types long, levels array<long>")
+    counted = blocks.groupBy("kind", "shard").applyInPandas(_combine, "kind int, shard int, hashes binary, counts binary, n long, types long")
     counted = scratch.save(counted, "counts")
     about = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("types").alias("v")).collect()}
     totals = {"n": about[1].n if about else 0, "v": about[1].v if about else 0, "ends": size.ends}
-
-    built = counted.select("kind", "shard", "hashes", "counts").groupBy("shard").applyInPandas(_build(shard_bits), "shard int, bits binary")
+    built = counted.select("kind", "shard", "hashes", "counts").groupBy("shard").applyInPandas(_build, "shard int, filter binary, hashes binary, counts binary")
     built = scratch.save(built, "filter")
-    need = dict(built.select("shard", F.octet_length("bits")).collect())
-    for r in counted.where("kind = 1").select("shard", "types").collect():
-        need[r.shard] += 16 * r.types
-    ranges, held = [], 0
-    for s in range(1 << shard_bits):
-        if not ranges or held + need.get(s, 0) > PART_BYTES:
-            ranges.append([s, s])
-            held = 0
-        ranges[-1][1] = s
-        held += need.get(s, 0)
-    down = 64 - shard_bits
-    rows = plain.withColumns({"n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0)})
-    kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64()}
-    sql = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
-    for i, (low, high) in enumerate(ranges):
-        own = counted.where(F.col("kind") == 1).where(F.col("shard").between(low, high)).select("shard", "hashes", "counts").orderBy("shard").toLocalIterator()
-        hashes, counts, narrow = bytearray(), bytearray(), totals["n"] < 1 << 32
-        for r in own:
-            hashes += r.hashes
-            counts += np.frombuffer(r.counts, np.int64).astype(np.uint32).tobytes() if narrow else r.counts
-        shards = [(r.shard, bytes(r.bits)) for r in built.where(F.col("shard").between(low, high)).toLocalIterator()]
-        model = Filter(shards, shard_bits, totals)
-        del shards
-        part = spark.sparkContext.broadcast((low << down, (high + 1 << down) - 1, bytes(hashes), bytes(counts), model))
-        del hashes, counts, model
-        last = i == len(ranges) - 1
-        schema = pa.schema([*kinds.items(), *([("score", pa.float64())] if last else [("text", pa.string()), ("levels", pa.binary())])])
-        rows = rows.mapInArrow(_scores(part, totals, i == 0, last, schema), sql + (", score double" if last else ", text string, levels binary"))
-        if not last:
-            rows = scratch.save(rows, f"pass{i}")
-            part.destroy()
-            if i:
-                scratch.drop(f"pass{i - 1}")
+    scratch.drop("counts")
+
+    sizes = {r.shard: (r.f, r.n) for r in built.select("shard", (F.octet_length("filter") / 8).cast("long").alias("f"), (F.octet_length("hashes") / 8).cast("long").alias("n")).collect()}
+    if sum(8 * f + 16 * n for f, n in sizes.values()) <= SHARED_BYTES:
+        rows = plain.mapInArrow(_scores(_share(built, sizes, shard_bits, totals), shard_bits, totals), OUT_SQL)
+    else:
+        rows = look_up(plain, _asks, built, shard_bits, _answer(shard_bits), _join(totals), OUT_SQL, scratch)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -209,43 +209,84 @@ def test_lm_base_is_exact_and_the_model_beats_it(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_in_parts_and_odd_rows(spark, odd, monkeypatch):
+def test_lm_score_equals_brute_force(spark):
+    """Quantised counts as dictionaries; the fixture is small enough that no probe of the filter errs."""
+    texts = ["the cat sat on the mat", "the cat ran", "a dog sat on the cat", "The Mat", "", None, "the the the the the", "a dog and a cat and a mouse"]
+    docs = spark.createDataFrame([(d, texts[d % len(texts)]) for d in range(40)] + [(50, "the dog flew on the mat")], "doc_id long, text string")
+    rows = [(r.doc_id, [*(r.text or "").lower().split(), None]) for r in docs.collect()]
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 10 == 0} | {50}
+    one, two = Counter(), Counter()
+    for d, t in rows:
+        if d not in held:
+            one.update(t)
+            two.update(zip(["<s>", *t], t))
+    n, v, ends = sum(one.values()), len(one), len(rows) - len(held)
+    low = lambda c: float(lm.least(lm.level(np.array([c])))[0]) if c else 0.0
+    high = lambda c: float(lm.greatest(lm.level(np.array([c])))[0]) if c else 0.0
+
+    def p(w, before):
+        context = ends if before == "<s>" else high(one[before])
+        return (min(low(two[before, w]), context) + lm.PRIOR * (low(one[w]) + 0.1) / (n + 0.1 * (v + 1))) / (context + lm.PRIOR)
+
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0) | (F.col("doc_id") == 50)).collect()}
+    for d, t in rows:
+        assert math.isclose(got[d], sum(math.log10(p(w, b)) for b, w in zip(["<s>", *t], t)), rel_tol=1e-9)
+    for before in ["<s>", *(w for w in one if w)]:
+        assert sum(p(w, before) for w in one) + lm.PRIOR * 0.1 / (n + 0.1 * (v + 1)) / ((ends if before == "<s>" else high(one[before])) + lm.PRIOR) <= 1
+
+
+def test_lm_probabilities_add_up_to_one_at_most():
+    """A frequent word with many followers: the counts of a context are rounded up and those of its pairs down."""
+    for followers in ([1] * 194, [3] * 500, [7, 1, 1, 40, 1000], [1]):
+        context, n, v = sum(followers), 10 * sum(followers), 3 * len(followers)
+        pair, total = lm.least(lm.level(np.array(followers))), lm.greatest(lm.level(np.array([context])))[0]
+        seen = 10 ** lm.logs(pair, pair, np.full(len(pair), total), np.ones(len(pair), bool), n, v)
+        assert total >= context and seen.sum() <= 1
+    c = np.arange(1, 100_000)
+    assert (lm.least(lm.level(c)) <= c).all() and (lm.greatest(lm.level(c)) >= c).all() and (lm.greatest(lm.level(c)) < 1.5 * c + 1).all()
+
+
+def test_lm_ways_agree_and_odd_rows(spark, odd, monkeypatch):
+    """One broadcast part, many parts, and look-ups in shards give the same rows."""
     want = {r.doc_id: r for r in lm.op5_lm_scoring(spark, SF).collect()}
-    monkeypatch.setattr(lm, "PART_BYTES", 200_000)
-    got = {r.doc_id: r for r in lm.op5_lm_scoring(spark, SF).collect()}
-    assert all(got[d].n_known == r.n_known and math.isclose(got[d].base_score, r.base_score, rel_tol=1e-9) and math.isclose(got[d].score, r.score, rel_tol=1e-9) for d, r in want.items())
-    rows = lm.lm_scores(odd, common.fold(F.col("doc_id"), 10) == 0).collect()
-    assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (3, 4, 6)} == {1}
-    assert lm.lm_scores(odd.limit(0), F.lit(False)).count() == 0
-    assert all(math.isfinite(r.score) for r in lm.lm_scores(odd, F.lit(True)).collect())
-
-
-def test_lm_enters_every_pair_whatever_the_bounds(spark, monkeypatch):
-    want = {r.doc_id: r for r in lm.op5_lm_scoring(spark, SF).collect()}
-    monkeypatch.setattr(lm, "FILTER_BYTES", 20_000, raising=False)  # a bound on what is entered, if there is one
-    monkeypatch.setattr(lm, "PART_BYTES", 20_000)
-    got = {r.doc_id: r for r in lm.op5_lm_scoring(spark, SF).collect()}
-    assert all(math.isclose(got[d].score, r.score, rel_tol=1e-9) for d, r in want.items())
+    for name, most in (("PART_BYTES", 20_000), ("SHARED_BYTES", 0)):
+        monkeypatch.setattr(lm, name, most)
+        got = {r.doc_id: r for r in lm.op5_lm_scoring(spark, SF).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[d].n_known == r.n_known and math.isclose(got[d].base_score, r.base_score, rel_tol=1e-9) and math.isclose(got[d].score, r.score, rel_tol=1e-9) for d, r in want.items())
+        rows = lm.lm_scores(odd, common.fold(F.col("doc_id"), 10) == 0).collect()
+        assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (3, 4, 6)} == {1}
+        assert lm.lm_scores(odd.limit(0), F.lit(False)).count() == 0
+        assert all(math.isfinite(r.score) for r in lm.lm_scores(odd, F.lit(True)).collect())
 
 
 def test_filter_keeps_levels():
     h = common.mix(np.arange(5000, dtype=np.uint64))
-    built = lm._build(3, 1)
-    import pandas as pd
-
-    pairs = common.mix(h + np.uint64(9))
-    shard = (pairs >> np.uint64(61)).astype(int)
+    pairs = np.sort(common.mix(h + np.uint64(9)))
     counts = np.arange(5000) % 40 + 1
-    parts = []
-    for s in range(8):
-        own = shard == s
-        low = (pairs[own] >> np.uint64(29)).astype(np.uint32)
-        out = built(pd.DataFrame({"kind": [2], "shard": [s], "hashes": [low.tobytes()], "counts": [counts[own].astype(np.int64).tobytes()]}))
-        parts.append((s, out["bits"].iat[0]))
-    f = lm.Filter(parts, 3, {})
-    read = f.pairs(pairs)
-    assert (read >= np.ceil(lm.BASE ** (lm.level(counts) - 1.0) - 1e-9)).all() and (read == np.ceil(lm.BASE ** (lm.level(counts) - 1.0) - 1e-9)).mean() > 0.97
-    assert (f.pairs(common.mix(pairs + np.uint64(77))) > 0).mean() < 0.02
+    out = lm._build(__import__("pandas").DataFrame({"kind": [2], "shard": [0], "hashes": [pairs.tobytes()], "counts": [counts.astype(np.int64).tobytes()]}))
+    data = np.frombuffer(out["filter"].iat[0], np.uint64)
+    none = np.zeros(0, np.uint64)
+    f = lm.Filter(1, 0, np.array([0, 0]), np.array([len(data), len(data)]), data, none, none)
+    assert (f.levels(pairs, 2) >= lm.level(counts)).all() and (f.levels(pairs, 2) == lm.level(counts)).mean() > 0.97
+    assert (f.levels(common.mix(pairs + np.uint64(77)), 2) > 0).mean() < 0.01
+
+
+def test_word_hashes(monkeypatch):
+    import pyarrow as pa
+
+    from quillspark.llm import wordhash
+
+    texts = ["One two  three", None, "", " \n\x0b\x0c x", "a" * 300_000, " b " * 70_000, "ünï A a\x1c", "one", "uvw" * 40]
+    want = [(x or "").encode().lower().split() for x in texts]
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(wordhash, "PIECE", piece)
+        h, n = wordhash.column_hashes(pa.array(["zz", *texts]).slice(1))
+        assert n.tolist() == [len(x) for x in want]
+        known = {}
+        assert all(known.setdefault(w, x) == x for w, x in zip((w for part in want for w in part), h.tolist(), strict=True))
+        assert len(set(known.values())) == len(known)
+    assert len(wordhash.column_hashes(pa.array([], pa.string()))[0]) == 0
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
