@@ -10,7 +10,6 @@ least id hash, so the same on every run. Scoring covers every row and the whole
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,33 +17,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WordHash, blobs, bounded_batches, fold, mix, pair_hash, slices, table
+from quillspark.llm.common import bounded_batches, fold, mix, pair_hash, slices, table
+from quillspark.llm.wordhash import SPACE, column_hashes, hashes, raw
 
 #: The bound of the training sample, for each label.
 PER_CLASS = 4000
 #: Weights are 2**BITS numbers while fitting, and those that aren't zero afterwards.
 BITS = 20
 
-_LOWER_BARE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+#: Lower-cases A-Z and keeps letters, digits and bytes from 128 on; all else ends a word.
+BARE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else SPACE for c in range(256)], np.uint8)
+#: The kind of a letter (capital A, other a) or digit (0); punctuation stays.
+SHAPE = np.array([65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else SPACE if chr(c) in " \t\n\x0b\x0c\r" else c for c in range(256)], np.uint8)
 
 
-def bare_words(text: bytes) -> list[bytes]:
-    """Lower-cased runs of letters and digits."""
-    return text.translate(_LOWER_BARE).split()
+def shape_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of words whose runs of small letters are cut to one and runs of capitals to one mark, so that case and punctuation remain."""
+    data, at = raw(texts)
+    data = SHAPE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    again = np.zeros(len(data), bool)
+    again[1:] = (data[1:] == data[:-1]) & ~first[1:-1] & ((data[1:] == 65) | (data[1:] == 97))
+    led = np.zeros(len(data), bool)
+    led[:-1] = again[1:] & (data[:-1] == 65)
+    data[led] = 66
+    kept = np.concatenate([[0], np.cumsum(~again)])
+    return hashes(data[~again], kept[at])
 
 
-def shape_words(text: bytes) -> list[bytes]:
-    """Words with each run of letters or digits reduced to its kind, so that case and punctuation remain."""
-    text = re.sub(rb"A{2,}", b"B", re.sub(rb"a{2,}", b"a", text.translate(_SHAPE)))
-    return text.split()
-
-
-def _grams(seen: WordHash, docs: list[list[bytes]], salt: int, n: int, skips: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(words: tuple[np.ndarray, np.ndarray], salt: int, n: int, skips: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
     """(document number, hash) of word 1- to n-grams, and of pairs of words with so many words between."""
-    flat, size = seen.flat(docs)
+    flat, size = words
     flat = mix(flat + np.uint64(salt))
-    doc = np.repeat(np.arange(len(docs)), size)
+    doc = np.repeat(np.arange(len(size)), size)
     out, run = [(doc, flat)], flat
     for k in range(1, n):
         if len(flat) <= k:
@@ -59,18 +65,18 @@ def _grams(seen: WordHash, docs: list[list[bytes]], salt: int, n: int, skips: tu
     return out
 
 
-def quality_features(seen: WordHash, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def quality_features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Word 1- and 2-grams, of the words and of their shapes."""
-    return _grams(seen, [bare_words(t) for t in texts], 1, 2) + _grams(seen, [shape_words(t) for t in texts], 2, 2)
+    return _grams(column_hashes(texts, BARE), 1, 2) + _grams(shape_hashes(texts), 2, 2)
 
 
-def toxicity_features(seen: WordHash, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def toxicity_features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Word 1- and 2-grams, and pairs of words with one or two words between."""
-    return _grams(seen, [bare_words(t) for t in texts], 3, 2, (1, 2))
+    return _grams(column_hashes(texts, BARE), 3, 2, (1, 2))
 
 
-def _hashed(features: Callable, seen: WordHash, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = features(seen, texts)
+def _hashed(features: Callable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    found = features(texts)
     return np.concatenate([d for d, _ in found]), np.concatenate([h for _, h in found]) >> np.uint64(64 - BITS)
 
 
@@ -78,10 +84,9 @@ def _extract(features: Callable):
     out = pa.schema([("label", pa.int32()), ("features", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
         for whole in batches:
             for batch in slices(whole, "text"):
-                doc, index = _hashed(features, seen, blobs(batch.column("text")))
+                doc, index = _hashed(features, batch.column("text"))
                 both = np.unique(doc.astype(np.uint64) << np.uint64(BITS) | index)
                 cut = np.searchsorted(both >> np.uint64(BITS), np.arange(batch.num_rows + 1))
                 low = (both & np.uint64((1 << BITS) - 1)).astype(np.uint32)
@@ -134,7 +139,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, features: Callable, per_class: int = PER_CLASS, **rates: float) -> Model:
     """docs: ``doc_id``, ``text``. labels: ``doc_id``, ``label`` 0 or 1; null labels and ids with both labels don't count.
 
-    The sample is chosen from ids and labels alone (at most 2 * per_class ids, hence the broadcast), then only
+    Of documents that repeat an id the least text counts, once; null texts are empty. Other columns are ignored. Without a labelled
+    document, as in an empty table, all weights are 0 and every score is one half. The sample is chosen from ids and labels alone (at most 2 * per_class ids, hence the broadcast), then only
     its texts are turned into features.
     """
     bounded_batches(docs.sparkSession)
@@ -147,9 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, features: Callable, per_class: int =
     return Model(*ftrl([(y, np.frombuffer(x, np.uint32)) for y, x in rows], **rates))
 
 
-def _totals(features: Callable, weights: np.ndarray, intercept: float, seen: WordHash, batch: pa.RecordBatch) -> np.ndarray:
+def _totals(features: Callable, weights: np.ndarray, intercept: float, batch: pa.RecordBatch) -> np.ndarray:
     """Log-odds of each text: the weights of its distinct features and the intercept."""
-    doc, index = _hashed(features, seen, blobs(batch.column("text")))
+    doc, index = _hashed(features, batch.column("text"))
     use = weights[index] != 0
     both = np.unique(doc[use].astype(np.uint64) << np.uint64(BITS) | index[use])
     at = (both >> np.uint64(BITS)).astype(np.int64)
@@ -162,10 +168,9 @@ def _score(features: Callable, model, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << BITS, np.float64)
         weights[model.value.index] = model.value.value
-        seen = WordHash()
         for whole in batches:
             for batch in slices(whole, "text"):
-                total = _totals(features, weights, model.value.intercept, seen, batch)
+                total = _totals(features, weights, model.value.intercept, batch)
                 score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=out)
 
@@ -173,7 +178,8 @@ def _score(features: Callable, model, id_type: pa.DataType):
 
 
 def score(docs: DataFrame, model: Model, features: Callable, held_out: Column) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; null texts score as empty ones."""
+    """``doc_id, held_out, score, predicted`` for every row, repeated ones too; null texts score as empty ones, whose score is that of
+    the intercept. An empty table gives no rows. Other columns are ignored, whatever their names."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return plain.mapInArrow(_score(features, shared, pa.int64()), "doc_id long, held_out boolean, score double, predicted int")
@@ -205,15 +211,15 @@ def _mark(features: Callable, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << BITS, np.float64)
         weights[model.value.index] = model.value.value
-        seen = WordHash()
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield batch.filter(pa.array(_totals(features, weights, model.value.intercept, seen, batch) < 0))
+                yield batch.filter(pa.array(_totals(features, weights, model.value.intercept, batch) < 0))
 
     return run
 
 
 def keep_clean(docs: DataFrame, model: Model, features: Callable) -> DataFrame:
-    """The rows of docs, whole, that score under 0.5: one pass, no shuffle. Null texts are scored as empty ones."""
+    """The rows of docs, whole, that score under 0.5: one pass, no shuffle. Null texts are scored as empty ones; each of repeated rows
+    is scored; rows without an id and all other columns are kept as they are. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_mark(features, shared), docs.schema)

@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: tables, scratch space, words and word hashes."""
+"""Helpers shared by the training-data operators: tables, scratch space, shared arrays, slices of texts and hashes."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,11 +106,31 @@ class Shared:
         return {name: np.asarray(raw[at : at + np.dtype(kind).itemsize * n]).view(kind) for name, (kind, n, at) in self.places.items()}
 
 
+#: Up to so many rows of a unique side are broadcast; a key of more rows than HOT_ROWS is joined apart from the others.
+UNIQUE_ROWS, HOT_ROWS = 2_000_000, 1_000_000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table of few narrow columns with one row for each key, however many rows share a key.
+
+    Up to UNIQUE_ROWS of the table are broadcast, after a count. Beyond, the keys with more than HOT_ROWS rows (so at most one for each
+    HOT_ROWS of rows) are broadcast with their matches, and only the rest is shuffled by key.
+    """
+    if unique.count() <= UNIQUE_ROWS:
+        return rows.join(F.broadcast(unique), key, how)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(key)
+    if hot.isEmpty():
+        return rows.join(unique, key, how)
+    few = unique.join(F.broadcast(hot), key, "left_semi")
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(unique, key, how)
+    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how).unionByName(cold)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-# --- words in Python -------------------------------------------------------------------------
+# --- texts in Python -------------------------------------------------------------------------
 
 
 def blobs(column: pa.Array) -> list[bytes]:
@@ -132,29 +150,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[
         start = stop
 
 
-def words(text: bytes) -> list[bytes]:
-    """Lower-cases A-Z and splits at U+0020 and U+0009..U+000D; bytes methods touch nothing else."""
-    return text.lower().split()
-
-
-class WordHash(dict):
-    """64-bit hashes of words; remembers the first ``limit`` words it meets, which holds the frequent ones."""
-
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = h
-        return h
-
-    def flat(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of all documents, and each document's number of words."""
-        n = np.fromiter(map(len, docs), np.int64, len(docs))
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.uint64, int(n.sum())), n
-
-
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 S29, S32 = np.uint64(29), np.uint64(32)
 

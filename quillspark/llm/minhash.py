@@ -8,14 +8,13 @@ only those with a longer one are near. The depth thus follows the region by itse
 
 Candidates come in two passes. The first takes, in each order, the nearest neighbour whose
 sketch agrees; chosen pairs are confirmed on the full sets and merged. The second takes only documents
-that had a candidate, and looks up to ``REACH`` rows away (any distance where whole prefixes are equal) for
-neighbours of another component. It notes (document, component) and not pairs: the document is then held
+that had a candidate, and looks up to ``REACH`` rows away for neighbours of another component. It notes (document, component) and not pairs: the document is then held
 against every member of the component, in blocks, by an index of the block's shingles. A large group of copies is
 one component after the first pass, so only its outliers are left, and they miss no member.
 
 No row distance ends the search. The rows of an order that share their first ``RUN_DEPTH`` values are a run. A
-run of at most REACH + 1 rows lies within reach; longer ones are held whole in a third step: all their rows of
-different components meet in pairs of blocks, on the full sets. No range partition splits a run.
+run of at most REACH + 1 rows lies within reach; longer ones are held whole in a third step: the rows outside a run's largest
+component meet all its rows of other components in pairs of blocks, on the full sets. No range partition splits a run.
 
 The sketch (128 values of 4 bits) only skips pairs five standard deviations below the threshold. For a
 pair at similarity 0.8 the chance that no order puts it into one run is (1 - 0.8^4)^20, about 3e-5, in regions
@@ -33,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, WordHash, blobs, bounded_batches, mix, pair_hash, partitions, slices, table, words
+from quillspark.llm.common import Scratch, bounded_batches, join_unique, mix, pair_hash, partitions, slices, table
 from quillspark.llm.components import components
+from quillspark.llm.wordhash import column_hashes
 
 TREES, STEP, DEPTH = 20, 6, 8
 PERMUTATIONS = 128
-#: Neighbours up to this many rows away need MIN_DEPTH equal values; beyond, all DEPTH of them.
+#: Neighbours up to this many rows away with MIN_DEPTH equal values are candidates.
 REACH, MIN_DEPTH = 32, 3
 BLOCK = 200_000
 #: Equal first values that make a run, and the rows of a block of a long run.
@@ -52,10 +52,9 @@ _A = np.random.default_rng(20240501).integers(0, 1 << 32, PERMUTATIONS, np.uint6
 _X = np.random.default_rng(7).integers(0, 1 << 32, PERMUTATIONS, np.uint64).astype(np.uint32)
 
 
-def shingles(docs: list[bytes], seen: WordHash, width: int) -> Iterator[np.ndarray]:
+def shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; with fewer words than ``width``, one for the whole sequence."""
-    split = [words(x) for x in docs]
-    flat, n = seen.flat(split)
+    flat, n = column_hashes(texts)
     at = np.concatenate([[0], np.cumsum(n)])
     run = flat
     for k in range(1, width):
@@ -85,24 +84,23 @@ def _node(values: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(values.tobytes()), "big", signed=True)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("sketch", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("sketch", pa.binary())])
 
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows: list[tuple] = []
-                for doc, values in zip(batch.column("doc_id").to_pylist(), shingles(blobs(batch.column("text")), seen, width), strict=True):
+                for doc, text, values in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), shingles(batch.column("text"), width), strict=True):
                     if not len(values):
-                        rows.append((doc, 0, None, None, None))
+                        rows.append((doc, text, 0, None, None, None))
                         continue
                     low = signature(values)
                     low ^= low >> np.uint32(15)
                     key = np.stack([low[t * STEP : t * STEP + DEPTH] for t in range(TREES)]).astype(">u2")
                     nibble = (low & np.uint32(15)).astype(np.uint8)
-                    rows.append((doc, len(values), _node(values), key.tobytes(), (nibble[::2] << 4 | nibble[1::2]).tobytes()))
+                    rows.append((doc, text, len(values), _node(values), key.tobytes(), (nibble[::2] << 4 | nibble[1::2]).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SIGNED, strict=True)], schema=SIGNED)
 
     return run
@@ -133,10 +131,8 @@ def _neighbours(similarity: float, cross: bool):
         depth = same.copy()
         met = np.zeros(rows, bool)
         offset = 1
-        while True:
-            keep = depth >= (MIN_DEPTH if offset <= REACH else key.shape[1])
-            if offset > REACH and not cross:
-                break
+        while offset <= REACH:
+            keep = depth >= MIN_DEPTH
             left, depth = left[keep], depth[keep]
             if not len(left):
                 break
@@ -212,10 +208,9 @@ def _sets(width: int):
     out = pa.schema([("node", pa.int64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
         for whole in batches:
             for batch in slices(whole, "text"):
-                got = [x for x in shingles(blobs(batch.column("text")), seen, width)]
+                got = list(shingles(batch.column("text"), width))
                 yield pa.RecordBatch.from_arrays([pa.array([_node(x) if len(x) else None for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], schema=out)
 
     return run
@@ -307,9 +302,9 @@ def _outliers(near: DataFrame, place: DataFrame, sets: DataFrame, percent: int)
     deal = near.groupBy("label").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
     deal = deal.select("label", F.ceil(F.col("weight") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("n") / PROBES).cast("int").alias("salts"))
     spread = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
-    probes = near.select("x", "label").join(deal, "label").withColumn("salt", spread("x", "salts")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    probes = join_unique(near.select("x", "label"), deal, "label").withColumn("salt", spread("x", "salts")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     probes = probes.join(sets.toDF("x", "values"), "x").select("label", "block", "salt", "x", "values")
-    members = place.join(deal, "label").withColumn("block", spread("node", "blocks")).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+    members = join_unique(place, deal, "label").withColumn("block", spread("node", "blocks")).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
     members = members.join(sets.toDF("node", "mine"), "node").select("label", "block", "salt", "node", F.col("mine").alias("values"))
     key = ("label", "block", "salt")
     return probes.groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(_meet(percent), "u long, v long")
@@ -320,25 +315,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Null and
     empty texts have no shingles and no link; each row is a document of its own, also where an id repeats;
-    a row without an id has no component_id of its own but may be linked, and is kept only if alone.
-    An empty table gives no rows. Other columns of docs are ignored.
+    a row without an id is linked like any other, but gives no component its id: in a component without any id, component_id is
+    null and all rows are kept. An empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
-    spark, similarity = docs.sparkSession, percent / 100
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = labelled(plain, width, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def labelled(plain: DataFrame, width: int, percent: int) -> DataFrame:
+    """plain: ``doc_id, text``. ``doc_id, text_hash, n_shingles, label, component_id``; rows of one component share a label, null without shingles."""
+    spark, similarity = plain.sparkSession, percent / 100
     bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.save(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, node long, keys binary, sketch binary"), "signed")
+    hashed = plain.withColumn("text_hash", F.xxhash64("text"))
+    signed = scratch.save(hashed.mapInArrow(_sign(width), "doc_id long, text_hash long, n_shingles long, node long, keys binary, sketch binary"), "signed")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.save(classes, "classes")
-    one = signed.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "node"), ["node", "doc_id"]).dropDuplicates(["node"]).withColumns({"label": F.col("node"), "weight": F.lit(1).cast("long")})
-    one = scratch.save(one, "one")
+    named = join_named(signed, classes).dropDuplicates(["node"])
+    one = scratch.save(named.select("node", "n_shingles", "keys", "sketch").withColumns({"label": F.col("node"), "weight": F.lit(1).cast("long")}), "one")
     pairs = scratch.save(_forest(one, similarity, cross=False), "pairs")
 
     touched = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "touched")
 
     def gather(nodes: DataFrame) -> DataFrame:
-        ids = nodes.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
-        texts = plain.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        reps = nodes.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
+        ids = reps.where("doc_id is not null")
+        texts = plain.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("text")
+        if not reps.where("doc_id is null").isEmpty():
+            texts = texts.union(plain.where("doc_id is null").select("text"))
         return texts.mapInArrow(_sets(width), "node long, values binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     sets = scratch.save(gather(touched), "sets")
@@ -350,8 +355,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     def crossing(some: DataFrame, labels: DataFrame) -> DataFrame:
         la, lb = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        some = some.join(la, "a", "left").join(lb, "b", "left").withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
-        return some.where("la != lb")
+        some = join_unique(join_unique(some, la, "a", "left"), lb, "b", "left")
+        return some.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).where("la != lb")
 
     # First each document's best candidate and its candidate of least rank; a group of copies falls to few components.
     ends = pairs.select(F.col("a").alias("n"), "a", "b", "m", F.xxhash64("b").alias("h")).union(pairs.select(F.col("b"), "a", "b", "m", F.xxhash64("a")))
@@ -368,8 +373,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     labels = components(links.union(links2), scratch, "cc2")
     place = scratch.save(touched.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "place")
     weight = scratch.save(place.groupBy("label").agg(F.count(F.lit(1)).alias("weight")), "weight")
-    again = one.drop("label", "weight").join(place.join(weight, "label"), "node")
-    near = _forest(again, similarity, cross=True).select(F.col("a").alias("x"), F.col("b").alias("label")).join(weight, "label")
+    again = one.drop("label", "weight").join(join_unique(place, weight, "label"), "node")
+    near = join_unique(_forest(again, similarity, cross=True).select(F.col("a").alias("x"), F.col("b").alias("label")), weight, "label")
     near = scratch.save(near, "near")
     few = near.where(F.col("weight") <= SMALL).join(place, "label").select(F.col("x").alias("a"), F.col("node").alias("b"))
     links3 = scratch.save(confirm(few).union(_outliers(near.where(F.col("weight") > SMALL), place, sets, percent)), "links3")
@@ -379,14 +384,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     long = one.select(F.explode(_runs()).alias("run")).groupBy("run").count().where(F.col("count") > REACH + 1).select("run")
     long = scratch.save(long, "long")
     if not long.isEmpty():
-        rows = one.select("node", F.posexplode(_runs()).alias("tree", "run")).join(long, "run", "left_semi").join(labels, "node", "left")
+        rows = join_unique(one.select("node", F.posexplode(_runs()).alias("tree", "run")), long.withColumn("_l", F.lit(1)), "run").drop("_l").join(labels, "node", "left")
         rows = scratch.save(rows.withColumn("label", F.coalesce("label", "node")), "inlong")
-        mixed = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
-        rows = scratch.save(rows.join(mixed.select("run", F.ceil(F.col("n") / RUN_ROWS).cast("int").alias("blocks")), "run"), "mixed")
+        mixed = rows.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = mixed.groupBy("run").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+        size = lambda n: F.ceil(n / RUN_ROWS).cast("int")
+        mixed = scratch.save(mixed.select("run", F.col("top.label").alias("top"), size(F.col("n") - F.col("top.n")).alias("p"), size(F.col("top.n")).alias("q")), "runs")
+        rows = scratch.save(join_unique(rows, mixed, "run"), "mixed")
         fresh = scratch.save(rows.select("node").distinct().join(touched, "node", "left_anti"), "fresh")
         if not fresh.isEmpty():
             sets = sets.union(scratch.save(gather(fresh), "sets2"))
-        rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        # Blocks 0 to p - 1 hold the rows outside the largest component and meet each other and the q blocks of that component.
+        rows = rows.withColumn("block", F.expr("cast(if(label = top, p + pmod(xxhash64(node), q), pmod(xxhash64(node), p)) as int)"))
+        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, if(label = top, p, p + q) - 1)")))
         rows = rows.select("node", "label", "tree", "run", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         rows = rows.join(one.select("node", "n_shingles", "sketch", _runs().alias("runs")), "node").join(sets, "node")
         links4 = rows.groupBy("run", "low", "high").applyInPandas(_within(percent), "u long, v long")
@@ -395,32 +405,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             labels = components(links.union(links4), scratch, "cc4")
 
     member = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = member.where("label != node or copies > 1").unionByName(member.where("label = node and copies = 1"))
-    lowest = lowest.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = member.join(lowest, "label").where("copies > 1 or component_id != rep").select("node", "component_id")
-    for name in ("pairs", "sets", "sets2", "rest", "one", "inlong", "mixed"):
+    member = scratch.save(member, "member")
+    # Only classes of several rows or labels need a look-up; the others are their own component.
+    lowest = scratch.save(member.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("n")).where("n > 1").drop("n"), "lowest")
+    found = join_unique(member.select("node", "label"), lowest, "label")
+    for name in ("pairs", "sets", "sets2", "rest", "one", "inlong", "mixed", "near"):
         scratch.drop(name)
-    rows = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "node").join(found.withColumn("in", F.lit(True)), "node", "left")
+    return rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "node").alias("label"), F.when(F.col("in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def join_named(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of signed that carry the id of their class; of classes without any id, all rows."""
+    named = signed.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "node"), ["node", "doc_id"], "left_semi")
+    return named.unionByName(signed.where("doc_id is null").join(classes.where("rep is null").select("node"), "node", "left_semi"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are no copies: of each component the row of the smallest doc_id, and every row without words.
+    """The rows of docs that are no copies: of each component one row, that of the smallest doc_id (a row without an id only if
+    no other is there), and every row without words. All columns of docs are kept as they are.
 
-    Of rows that repeat this id one stays, the least by text. Rows without an id stay unless their shingles equal those of a row with one.
+    Rows count by their own text, so an id that repeats with different texts loses only those that are copies. Of rows that
+    repeat both id and text any one stays. An empty table gives no rows.
     """
-    found = near_duplicates(docs, width, percent)
-    gone = found.where("n_shingles > 0 and not kept").select("doc_id").distinct()
-    again = found.where("n_shingles > 0 and kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    n_gone = gone.count()
-    rows = docs.join(F.broadcast(gone) if n_gone <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = Scratch(docs.sparkSession, "keepone").save(labelled(plain, width, percent).where("label is not null").select("label", "doc_id", "text_hash"), "found")
+    each = found.groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    best = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("b"), F.sum("n").alias("rows")).where("rows > 1")
+    best = Scratch(docs.sparkSession, "keepone").save(best.select("label", F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_hash")), "best")
+    inside = join_unique(each, best, "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    inside = Scratch(docs.sparkSession, "keepone").save(inside.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("_stays"), F.col("n").alias("_n")), "inside")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+
+    def pick(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select("_id", "_hash")
+        return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS // 2 else keys, same, how)
+
+    rows = pick(docs, inside.where("not _stays"), "left_anti")
+    twins = inside.where("_stays and _n > 1")
+    if twins.isEmpty():
         return rows
-    once = rows.join(again, "doc_id", "left_semi").select(*docs.columns)
-    one = once.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
-    one = one.select("doc_id", "_r.*").select(*docs.columns)
-    return rows.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    one = pick(rows, twins, "left_semi").groupBy("doc_id", "text").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_r")).select("_r.*")
+    return pick(rows, twins, "left_anti").unionByName(one)
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
