@@ -195,7 +195,8 @@ class Codec:
         self.model = spark.sparkContext.broadcast((tokens, serialise(tokens)))
 
     def encode(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with ``ids`` in place of the text; a null text is empty and has no ids. A column named ids is replaced."""
+        """docs with ``ids`` in place of the text; a null text is empty and has no ids. Each of repeated rows is encoded; an empty table
+        gives no rows; texts are worked in slices of 1 MB, one text at least. Columns named ids or decoded are replaced, all others kept."""
         return self._encoded(docs, text_col, False)
 
     def round_trip(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -203,10 +204,12 @@ class Codec:
         return self._encoded(docs, text_col, True)
 
     def _encoded(self, docs: DataFrame, text_col: str, back: bool) -> DataFrame:
-        kept = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
-        rows = docs.select(*kept, F.col(text_col).cast("string").alias("text"))
+        others = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
+        kept = [f"c{k}" for k in range(len(others))]
+        held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(others, kept, strict=True)], F.col(text_col).cast("string").alias("text"))
         more = [F.lit(None).cast("array<int>").alias("ids")] + [F.lit(None).cast("binary").alias("decoded")] * back
-        return rows.mapInArrow(_encode(self.model, self.pattern, kept, back), docs.select(*kept, *more).schema)
+        rows = held.mapInArrow(_encode(self.model, self.pattern, kept, back), held.select(*kept, *more).schema)
+        return rows.toDF(*others, "ids", *["decoded"] * back)
 
     def decode(self, docs: DataFrame, ids_col: str = "ids") -> DataFrame:
         """docs with ``decoded``, the bytes of the ids, after its columns; null ids decode to no bytes."""

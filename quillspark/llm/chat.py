@@ -4,7 +4,8 @@ For every participant of a conversation the dialogue is rendered once with that
 others as named users; system turns stay system turns. Spans tell the characters that the assistant speaks, which are the
 ones to learn from.
 
-A dialogue is rendered in segments of at most ``TURNS`` turns, almost always one. Conversations of that length
+A dialogue is rendered in segments of at most ``TURNS`` turns, almost always one, so that no row grows without bound; ``most`` sets
+another length. System turns stand in the segment where they were spoken. Conversations of that length
 are gathered whole, one shuffle, at most TURNS rows each; longer ones are numbered by a distributed sort, so no
 conversation of any length meets in one task.
 """
@@ -22,15 +23,20 @@ TURNS = 256
 BROADCAST_LONG = 1_000_000
 
 
+def _plain(text: Column) -> Column:
+    """Without markers: what a speaker says can't end a turn or begin another."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def _rendered(perspective: Column, turns: Column) -> tuple[Column, Column]:
     """Text and spans of an array of (role, text) structs."""
 
     def header(t: Column) -> Column:
         mine = F.lit("assistant")
-        user = F.concat(F.lit("user name="), t["role"])
+        user = F.concat(F.lit("user name="), _plain(F.translate(t["role"], "\r\n", "  ")))
         return F.concat(F.lit("<|im_start|>"), F.when(t["role"] == "system", F.lit("system")).when(t["role"] == perspective, mine).otherwise(user), F.lit("\n"))
 
-    parts = F.transform(turns, lambda t: F.struct((t["role"] == perspective).alias("mine"), F.length(header(t)).alias("head"), F.concat(header(t), t["text"], F.lit("<|im_end|>\n")).alias("whole")))
+    parts = F.transform(turns, lambda t: F.struct((t["role"] == perspective).alias("mine"), F.length(header(t)).alias("head"), F.concat(header(t), _plain(t["text"]), F.lit("<|im_end|>\n")).alias("whole")))
     text = F.array_join(F.transform(parts, lambda p: p["whole"]), "")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 
@@ -49,7 +55,8 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
     number (null last), role, text; ties and repeated rows all stay. A null text is empty; rows with no
     conversation id are one conversation. A conversation of system turns alone has no participant and gives no
     rows, as does an empty table. Spans are ``start-end`` in characters of the text, end exclusive, joined by ";",
-    and cover the assistant's words and end marker. Other columns are ignored.
+    and cover the assistant's words and end marker. A marker inside a text or role is broken up by a space, and line ends in a role
+    become spaces. A participant who is silent in a segment has no span there. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(turns.sparkSession, "chat")
     rows = turns.select(
@@ -86,8 +93,8 @@ OP9_SQL = """
 with t as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
 n as (select *, row_number() over (partition by conv_id order by turn nulls last, role, text) - 1 as r from t),
 p as (select distinct conv_id, role as perspective from t where role <> 'system'),
-h as (select n.conv_id, p.perspective, n.r, (n.r // 256)::int as segment, n.role = p.perspective as mine, n.text,
-    '<|im_start|>' || case when n.role = 'system' then 'system' when n.role = p.perspective then 'assistant' else 'user name=' || n.role end || chr(10) as head
+h as (select n.conv_id, p.perspective, n.r, (n.r // 256)::int as segment, n.role = p.perspective as mine, replace(n.text, '<|im_', '< |im_') as text,
+    '<|im_start|>' || case when n.role = 'system' then 'system' when n.role = p.perspective then 'assistant' else 'user name=' || replace(replace(replace(n.role, chr(13), ' '), chr(10), ' '), '<|im_', '< |im_') end || chr(10) as head
   from n join p on n.conv_id is not distinct from p.conv_id),
 w as (select *, head || text || '<|im_end|>' || chr(10) as whole from h),
 o as (select *, sum(length(whole)) over (partition by conv_id, perspective, segment order by r)::bigint as stop from w)

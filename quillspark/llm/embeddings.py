@@ -33,7 +33,7 @@ BROADCAST_BUCKETS = 200_000
 
 def plan(rows: int, cosine: float) -> tuple[int, int]:
     """Bits of a table's key, which follow the number of rows, and the number of tables that the bound on misses needs."""
-    bits = min(24, max(6, int(math.log2(max(2, rows))) - 4))
+    bits = min(31, max(6, int(math.log2(max(2, rows))) - 4))
     hit = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - hit))
 

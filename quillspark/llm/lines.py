@@ -7,7 +7,8 @@ others go on, numbers its keys; compact arrays hold a fingerprint and a count fo
 these arrays instead of joining their lines. Rare lines aren't in the index: they can't be dropped, and the 64-bit
 fingerprint tells them from those that are.
 
-The shards' arrays are broadcast in parts of at most ``PART_BYTES``, usually one; each part is one pass over the texts.
+Arrays of at most ``PART_BYTES`` are broadcast, and the workers of an executor map one copy; larger ones stay in their
+shards, and the texts' distinct line hashes go there (``shards.look_up``), with the same result.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, blobs, bounded_batches, mix, slices, table
+from quillspark.llm.common import Scratch, Shared, blobs, bounded_batches, mix, slices, table
+from quillspark.llm.shards import look_up
 
-PART_BYTES = 1 << 28
-LOAD, LEVELS = 1.6, 40
+#: The most that is broadcast.
+PART_BYTES = 1 << 27
+#: Bits for each key of a level, and the level from which the other half of the hash decides.
+LOAD, SECOND = 1.6, 12
 SHARD_TEXT, BLOCK_LINES = 32 << 20, 1_000_000
 
 
@@ -81,14 +85,16 @@ def _long(k: bytes, least: int) -> bool:
 
 
 def _place(h: np.ndarray, level: int, bits: np.ndarray | int) -> np.ndarray:
-    return mix(h + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.asarray(bits).astype(np.uint64)
+    """Positions of 128-bit hashes in a level. Levels from SECOND on go by the second half, so keys that share the first half part there."""
+    one = h[:, 0] if level < SECOND else mix(h[:, 1] ^ h[:, 0])
+    return mix(one + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.asarray(bits).astype(np.uint64)
 
 
 def perfect_hash(h: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Level sizes in 64-bit words, the levels' words, and each key's number 0..n-1. Keys are distinct."""
+    """Level sizes in 64-bit words, the levels' words, and each key's number 0..n-1. Keys are distinct 128-bit hashes."""
     sizes, words, where = [], [], np.zeros(len(h), np.int64)
     left, base = np.arange(len(h)), 0
-    while len(left) and len(sizes) < LEVELS:
+    while len(left):
         n = max(1, math.ceil(len(left) * LOAD / 64))
         place = _place(h[left], len(sizes), n * 64).astype(np.int64)
         alone = np.bincount(place, minlength=n * 64)[place] == 1
@@ -98,8 +104,6 @@ def perfect_hash(h: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
         where[left[alone]] = base * 64 + place[alone]
         sizes.append(n)
         left, base = left[~alone], base + n
-    if len(left):
-        raise ValueError("two keys share a 64-bit hash")
     number = np.empty(len(h), np.int64)
     number[np.argsort(where)] = np.arange(len(h))
     return sizes, np.concatenate(words) if words else np.zeros(0, np.uint64), number
@@ -111,7 +115,7 @@ def _build(least: int):
         h, c = _add(h, np.concatenate([np.frombuffer(x, np.int64) for x in group["counts"]]))
         distinct = len(h)
         h, c = h[c >= least], c[c >= least]
-        sizes, words, number = perfect_hash(h[:, 0])
+        sizes, words, number = perfect_hash(h)
         prints, counts = np.empty(len(h), np.uint64), np.empty(len(h), np.uint32)
         prints[number], counts[number] = h[:, 1], np.minimum(c, 0xFFFFFFFF)
         return pd.DataFrame({"shard": [int(group["shard"].iat[0])], "distinct": [distinct], "sizes": [sizes], "words": [words.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
@@ -120,76 +124,123 @@ def _build(least: int):
 
 
 class LineIndex:
-    """Shards side by side: level words with running counts, fingerprints and counts."""
-
-    def __init__(self, shards: list, shard_bits: int):
-        self.shard_bits = shard_bits
-        self.size = np.zeros((1 << shard_bits, LEVELS), np.int64)
-        self.start = np.zeros((1 << shard_bits, LEVELS), np.int64)
-        at, words, prints, counts = 0, [], [], []
-        for r in sorted(shards, key=lambda r: r.shard):
-            for k, n in enumerate(r.sizes):
-                self.size[r.shard, k], self.start[r.shard, k] = n, at
-                at += n
-            words.append(np.frombuffer(r.words, np.uint64))
-            prints.append(np.frombuffer(r.prints, np.uint64))
-            counts.append(np.frombuffer(r.counts, np.uint32))
-        self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
-        self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
-        self.prints = np.concatenate([*prints, np.zeros(0, np.uint64)])
-        self.counts = np.concatenate([*counts, np.zeros(0, np.uint32)])
+    """Neighbouring shards side by side, from the shard ``low`` on: level words with running counts, fingerprints and counts.
+
+    Levels are ragged: shard s has the level sizes ``sizes[first[s] : first[s + 1]]``, in words, so nothing is held for a shard
+    that has no keys but its place in ``first``.
+    """
+
+    def __init__(self, shard_bits: int, low: int, first: np.ndarray, sizes: np.ndarray, words: np.ndarray, rank: np.ndarray, prints: np.ndarray, counts: np.ndarray):
+        self.shard_bits, self.low, self.first, self.sizes = shard_bits, low, first, sizes
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.words, self.rank, self.prints, self.counts = words, rank, prints, counts
+
+    @staticmethod
+    def of(shard_bits: int, low: int, high: int, rows: list) -> LineIndex:
+        """From the rows of the shards low to high, by shard; those without keys may lack."""
+        levels, join = np.zeros(high - low + 2, np.int64), lambda name, kind: np.concatenate([*(np.frombuffer(r[name], kind) for r in rows), np.zeros(0, kind)])
+        for r in rows:
+            levels[r["shard"] - low + 1] = len(r["sizes"])
+        words = join("words", np.uint64)
+        rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+        sizes = np.array([n for r in rows for n in r["sizes"]], np.int64)
+        return LineIndex(shard_bits, low, np.cumsum(levels), sizes, words, rank, join("prints", np.uint64), join("counts", np.uint32))
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """The number of documents of each hash, 0 for those not indexed."""
         out = np.zeros(len(h), np.int64)
-        shard = (h[:, 0] >> np.uint64(64 - self.shard_bits)).astype(np.int64)
-        alive = np.arange(len(h))
-        for k in range(LEVELS):
-            alive = alive[self.size[shard[alive], k] > 0]
+        shard = (h[:, 0] >> np.uint64(64 - self.shard_bits)).astype(np.int64) - self.low
+        first, last = self.first[shard], self.first[shard + 1]
+        alive, level = np.arange(len(h)), 0
+        while True:
+            alive = alive[first[alive] + level < last[alive]]
             if not len(alive):
-                break
-            s = shard[alive]
-            place = _place(h[alive, 0], k, self.size[s, k] * 64).astype(np.int64)
-            word, bit = self.start[s, k] + (place >> 6), (place & 63).astype(np.uint64)
+                return out
+            row = first[alive] + level
+            place = _place(h[alive], level, self.sizes[row] * 64).astype(np.int64)
+            word, bit = self.begin[row] + (place >> 6), (place & 63).astype(np.uint64)
             hit = self.words[word] >> bit & np.uint64(1) == 1
             number = self.rank[word[hit]] + np.bitwise_count(self.words[word[hit]] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
             same = self.prints[number] == h[alive[hit], 1]
             out[alive[hit][same]] = self.counts[number[same]]
-            alive = alive[~hit]
-        return out
+            alive, level = alive[~hit], level + 1
+
+
+def _cut(column: pa.Array, least_size: int) -> tuple[list[list[bytes]], np.ndarray, list[bytes], np.ndarray]:
+    """Each text's lines and their number, all keys one after the other, and which are long enough to be dropped."""
+    lines = [x.split(b"\n") for x in blobs(column)]
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    keys = [key(x) for part in lines for x in part]
+    return lines, n, keys, np.fromiter((len(k) >= least_size and _long(k, least_size) for k in keys), bool, len(keys))
 
 
-def _drop(index, least: int, least_size: int, fields: list[str]):
+def _less(lines: list[list[bytes]], n: np.ndarray, gone: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Texts without the lines that go, the number of lines before, and of those dropped."""
+    doc = np.repeat(np.arange(len(lines)), n)
+    dropped = np.bincount(doc[gone], minlength=len(lines)).astype(np.int64)
+    texts, at = [], 0
+    for part, some, size in zip(lines, dropped, n, strict=True):
+        texts.append(b"\n".join(part if not some else [x for x, g in zip(part, gone[at : at + size], strict=True) if not g]))
+        at += size
+    return pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n), pa.array(dropped)
+
+
+def _drop(shared: Shared, shard_bits: int, least: int, least_size: int, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.arrays()
+        index = LineIndex(shard_bits, 0, *(held[x] for x in ("first", "sizes", "words", "rank", "prints", "counts")))
         for whole in batches:
             for batch in slices(whole, "text"):
-                lines = [x.split(b"\n") for x in blobs(batch.column("text"))]
-                n = np.fromiter(map(len, lines), np.int64, len(lines))
-                keys = [key(x) for part in lines for x in part]
-                gone = np.fromiter((len(k) >= least_size and _long(k, least_size) for k in keys), bool, len(keys))
+                lines, n, keys, gone = _cut(batch.column("text"), least_size)
                 if gone.any():
-                    gone &= index.value.probe(_hashes(keys)) >= least
-                doc = np.repeat(np.arange(len(lines)), n)
-                dropped = np.bincount(doc[gone], minlength=len(lines)).astype(np.int64)
-                texts, at = [], 0
-                for part, some, raw in zip(lines, dropped, n, strict=True):
-                    texts.append(b"\n".join(part if not some else [x for x, g in zip(part, gone[at : at + raw], strict=True) if not g]))
-                    at += raw
-                row = dict(zip(batch.schema.names, batch.columns, strict=True))
-                row["text"] = pa.array(texts, pa.binary()).cast(pa.string())
-                row["n_lines"] = pa.array(np.maximum(n, np.array([x or 0 for x in row["n_lines"].to_pylist()], np.int64)))
-                row["n_dropped"] = pa.array(np.array(row["n_dropped"].to_pylist(), np.int64) + dropped)
-                yield pa.RecordBatch.from_arrays([row[f] for f in fields], names=fields)
+                    gone[gone] = index.probe(_hashes([k for k, g in zip(keys, gone.tolist(), strict=True) if g])) >= least
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_less(lines, n, gone)], names=[*kept, "text", "n_lines", "n_dropped"])
 
     return run
 
 
-def drop_common_lines(docs: DataFrame, least: int = 10, least_size: int = 1, text_col: str = "text") -> DataFrame:
+def _distinct(keys: list[bytes], gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the keys that may go, and each one's place there."""
+    h = _hashes([k for k, g in zip(keys, gone.tolist(), strict=True) if g])
+    both, at = np.unique(np.ascontiguousarray(h[:, [0, 1]].astype(">u8")).view("V16").ravel(), return_inverse=True)
+    return np.frombuffer(both.tobytes(), ">u8").astype(np.uint64).reshape(-1, 2), at
+
+
+def _asks(least_size: int):
+    def asks(table: pa.Table) -> list[np.ndarray]:
+        _, _, keys, gone = _cut(table.column("text").combine_chunks(), least_size)
+        return [_distinct(keys, gone)[0]] if gone.any() else []
+
+    return asks
+
+
+def _answer(shard_bits: int, least: int):
+    def answer(known: pa.Table):
+        rows = known.to_pylist()
+        low = rows[0]["shard"] if rows else 0
+        index = LineIndex.of(shard_bits, low, low, rows) if rows else None
+        return lambda _, data: (index.probe(np.frombuffer(data, np.uint64).reshape(-1, 2)) >= least).view(np.uint8) if index else np.zeros(len(data) // 16, np.uint8)
+
+    return answer
+
+
+def _join(least_size: int, kept: list[str]):
+    def finish(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
+        lines, n, keys, gone = _cut(table.column("text").combine_chunks(), least_size)
+        if gone.any():
+            gone[gone] = np.frombuffer(answers[0], np.uint8)[_distinct(keys, gone)[1]] == 1
+        return pa.table([*(table.column(c) for c in kept), *_less(lines, n, gone)], names=[*kept, "text", "n_lines", "n_dropped"])
+
+    return finish
+
+
+def drop_common_lines(docs: DataFrame, least: int = 10, least_size: int = 1, text_col: str = "text", numbers: bool = True) -> DataFrame:
     """docs with the text less its common lines, and ``n_lines, n_dropped`` appended.
 
     A line whose key has at least least_size code points and occurs in at least ``least`` rows of docs goes from
     every row; the others stay, joined by newlines. Null texts are one empty line and become empty texts. Repeated rows
-    count each. An empty table gives no rows. Columns of docs named n_lines or n_dropped are replaced; the others are kept.
+    count each. An empty table gives no rows. Columns of docs named n_lines or n_dropped are replaced; the others are kept,
+    whatever their names. With numbers=False only the columns of docs come back, those two names among them as they are.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -199,25 +250,25 @@ def drop_common_lines(docs: DataFrame, least: int = 10, least_size: int = 1, tex
     shard_bits = min(24, max(3, math.ceil(math.log2(max(1, size / SHARD_TEXT)))))
     blocks = texts.mapInArrow(_count(shard_bits, least_size), "shard int, hashes binary, counts binary")
     built = blocks.groupBy("shard").applyInPandas(_build(least), "shard int, distinct long, sizes array<int>, words binary, prints binary, counts binary")
-    built = scratch.save(built, "index")
-    bytes_of = F.octet_length("words") + F.octet_length("prints") + F.octet_length("counts")
-    weight = {r.shard: r.n for r in built.select("shard", bytes_of.alias("n")).collect()}
-    ranges, held = [[0, 0]], 0
-    for s in sorted(weight):
-        if held + weight[s] > PART_BYTES:
-            ranges.append([s, s])
-            held = 0
-        ranges[-1][1] = s
-        held += weight[s]
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*[F.col(c).cast("string").alias("text") if c == text_col else F.col(c) for c in others])
-    rows = rows.withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")})
-    for i, (low, high) in enumerate(ranges):
-        index = LineIndex(built.where(F.col("shard").between(low, high)).collect(), shard_bits)
-        rows = rows.mapInArrow(_drop(spark.sparkContext.broadcast(index), least, least_size, rows.columns), rows.schema)
-        if i < len(ranges) - 1:
-            rows = scratch.save(rows, f"pass{i}")
-    return rows.withColumnRenamed("text", text_col)
+    built = scratch.save(built, "index").where("octet_length(prints) > 0")
+    weight = built.agg(F.coalesce(F.sum(2 * F.octet_length("words") + F.octet_length("prints") + F.octet_length("counts") + 16 * F.size("sizes")), F.lit(0))).first()[0]
+
+    added = ["n_lines", "n_dropped"] if numbers else []
+    others = [c for c in docs.columns if c not in (text_col, *added)]
+    kept = [f"c{k}" for k in range(len(others))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(others, kept, strict=True)], F.col(text_col).cast("string").alias("text"))
+    schema = rows.withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(None).cast("long")}).schema
+    if weight + (8 << shard_bits) <= PART_BYTES:
+        index = LineIndex.of(shard_bits, 0, (1 << shard_bits) - 1, sorted(built.select("shard", "sizes", "words", "prints", "counts").toLocalIterator(), key=lambda r: r.shard))
+        arrays = {name: getattr(index, name) for name in ("first", "sizes", "words", "rank", "prints", "counts")}
+        shared = Shared({name: (x.dtype.type, len(x)) for name, x in arrays.items()})
+        for name, x in arrays.items():
+            shared.array(name)[:] = x
+        rows = rows.mapInArrow(_drop(shared.send(spark), shard_bits, least, least_size, kept), schema)
+    else:
+        rows = look_up(rows, _asks(least_size), built.select("shard", "sizes", "words", "prints", "counts"), shard_bits, _answer(shard_bits, least), _join(least_size, kept), schema, scratch)
+    names = dict(zip(others, kept, strict=True)) | {text_col: "text"} | {c: c for c in added}
+    return rows.select(*[F.col(names[c]).alias(c) for c in [*(c for c in docs.columns if c not in added), *added]])
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

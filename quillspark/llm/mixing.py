@@ -43,16 +43,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("_source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", size_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """size_col: a column that holds the size already; the text is not read then.
+#: Up to so many rows (id, copies) are broadcast to the texts; more are joined.
+BROADCAST_COPIES = 2_000_000
 
-    docs with ``_size, _source_size, _target, _copies``: the copies of each row that the mix takes, 0 to ceil(most).
 
-    Null texts have size 0; null is a source; rows without an id come first among equal sizes; repeated rows are rows of their
-    own. A source without words has target 0 and gives no copies. An empty table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.withColumn("_source", F.col(source_col)).withColumn("_size", F.col(size_col) if size_col else size_in_words(F.col(text_col))).withColumn("_id", F.col(id_col))
+def _drawn(rows: DataFrame, scratch: Scratch, seed: str, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """rows: ``_source, _size, _id`` and others. Adds ``_source_size, _target, _copies``."""
     rows = ranked(rows, "_source", ["_size", "_id"], scratch)
     sizes = rows.groupBy("_source").agg(F.sum("_size").alias("source_size"))
     goal = scratch.save(targets(sizes, weights, share, most), "targets").toDF("_s", "_source_size", "_target")
@@ -61,7 +57,45 @@ def mix(docs: DataFrame, seed: str = "mix", text_col: str = "text", source_col:
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("_source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     rows = rows.withColumn("_each", each).withColumn("_offset", offset)
     copies = F.floor(F.col("_rank") * F.col("_each") + F.col("_offset")) - F.floor((F.col("_rank") - 1) * F.col("_each") + F.col("_offset"))
-    return rows.withColumn("_copies", copies.cast("int")).drop("_source", "_s", "_id", "_rank", "_each", "_offset")
+    return rows.withColumn("_copies", copies.cast("int")).drop("_s", "_rank", "_each", "_offset")
+
+
+def _named(docs: DataFrame, size_col: str | None, text_col: str, source_col: str, id_col: str) -> list[Column]:
+    """Source, size and id under names of their own."""
+    size = F.col(size_col).cast("long") if size_col else size_in_words(F.col(text_col))
+    return [F.col(source_col).alias("_source"), size.alias("_size"), F.col(id_col).alias("_id")]
+
+
+def mix(docs: DataFrame, seed: str = "mix", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", size_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """docs with ``_size, _source_size, _target, _copies``: the copies of each row that the mix takes, 0 to ceil(most).
+
+    size_col: a column that holds the size already; the text is not read then. Null texts have size 0; null is a source; rows
+    without an id come first among equal sizes; repeated rows are rows of their own. A source without words has target 0 and
+    gives no copies. An empty table gives no rows. Columns of docs with one of the four names are replaced, all others are kept.
+    """
+    made = ("_size", "_source_size", "_target", "_copies")
+    rows = docs.select(F.struct("*").alias("_row"), *_named(docs, size_col, text_col, source_col, id_col))
+    rows = _drawn(rows, Scratch(docs.sparkSession, "mix"), seed, weights, share, most)
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in made], *made)
+
+
+def repeat(docs: DataFrame, seed: str = "mix", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of docs, each as often as ``mix`` takes it, with the columns of docs as they are.
+
+    Only ids, sources and sizes are sorted; texts meet their number of copies by id. Where an id repeats or is null,
+    whole rows are sorted instead, with the same result.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    names = _named(docs, None, text_col, source_col, id_col)
+    thin = scratch.save(docs.select(*names), "sizes")
+    n = thin.agg(F.count(F.lit(1)).alias("rows"), F.count("_id").alias("ids")).first()
+    again = F.expr("sequence(1, _copies)")
+    if n.rows == n.ids and thin.groupBy("_id").count().where("count > 1").isEmpty():
+        taken = _drawn(thin, scratch, seed, weights, share, most).where("_copies > 0").select("_id", "_copies")
+        rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id")).join(F.broadcast(taken) if n.rows <= BROADCAST_COPIES else taken, "_id")
+    else:
+        rows = _drawn(docs.select(F.struct("*").alias("_row"), *names), scratch, seed, weights, share, most).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(again)).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -132,6 +133,44 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
     kept = minhash.keep_one(odd, 2)
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 1 and kept.where("doc_id in (2, 9)").count() == 0
+    assert minhash.keep_one(odd.limit(0), 2).count() == 0
+
+
+def test_near_copies_without_or_with_repeated_ids(spark):
+    long = [f"w{i}" for i in range(200)]
+    x, y, z = " ".join(long), " ".join([*long, "more"]), " ".join(f"z{i}" for i in range(50))
+    rows = [(3, x, "a"), (5, y, "b"), (5, z, "c"), (None, y + " still", "d"), (None, z + " and", "e"), (None, "no id at all here", "f"), (None, "no id at all here", "g"), (7, None, "h"), (7, None, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, 2).collect()), key=repr)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (None, 3, False), (None, 5, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=repr)
+    assert sorted(r.label for r in minhash.keep_one(df, 2).collect()) in (["a", "c", "f", "h", "i"], ["a", "c", "g", "h", "i"])
+
+
+def test_a_run_of_one_large_component_and_outliers(spark, monkeypatch):
+    """The rows outside the largest component meet it and each other, in several blocks."""
+    monkeypatch.setattr(minhash, "REACH", 2)
+    monkeypatch.setattr(minhash, "RUN_ROWS", 8)
+    rng = np.random.default_rng(5)
+    base, texts = [f"t{i}" for i in range(150)], []
+    for k in range(120):
+        one = list(base)
+        for at in rng.choice(150, 4 if k < 80 else 14, replace=False):
+            one[at] = f"v{k}-{at}"
+        texts.append(" ".join(one))
+    _, group = near(texts, 2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()}
+    assert got == dict(enumerate(group))
+
+
+def test_hot_keys_join_apart(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)], "key long, row long")
+    unique = spark.createDataFrame([(k, f"u{k}") for k in (0, 1, 95)], "key long, name string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(unique, "key", how).collect()))
+        for most, hot in ((10, 10), (0, 10), (0, 1000)):
+            monkeypatch.setattr(common, "UNIQUE_ROWS", most)
+            monkeypatch.setattr(common, "HOT_ROWS", hot)
+            assert sorted(map(tuple, common.join_unique(rows, unique, "key", how).collect())) == want
 
 
 def test_components(spark, tmp_path):
@@ -302,33 +341,86 @@ def test_sql_agrees(spark, name):
 
 
 def test_mixing_of_odd_rows(spark, odd):
-    got = mixing.mix(odd.drop("_size")).collect()
+    """odd has a column _size, which mix replaces and repeat keeps."""
+    got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r._copies <= 2 for r in got)
+    assert all(r._size == len((r.text or "").encode().split()) for r in got)
     assert all(r._copies * r._size <= 2 * r._size for r in got) and all(r._target <= 2 * r._source_size for r in got)
-    assert mixing.mix(odd.limit(0).drop("_size")).count() == 0
-    again = mixing.mix(odd.drop("_size")).collect()
+    assert mixing.mix(odd.limit(0)).count() == 0 and mixing.repeat(odd.limit(0)).count() == 0
+    again = mixing.mix(odd).collect()
     assert sorted((str(r.doc_id), r._copies) for r in got) == sorted((str(r.doc_id), r._copies) for r in again)
+    twice = mixing.repeat(odd)
+    assert twice.columns == odd.columns
+    assert Counter((r.doc_id, r.text, r.lang) for r in twice.collect()) == Counter(x for r in got for x in [(r.doc_id, r.text, r.lang)] * r._copies)
+    clash = odd.select("doc_id", "text", "source", F.lit("x").alias("_id"), F.lit(7).alias("_source"), F.lit(8).alias("_rank"), F.lit("y").alias("_copies"))
+    assert {r._id for r in mixing.mix(clash).collect()} == {"x"} and {(r._id, r._copies) for r in mixing.repeat(clash).collect()} == {("x", "y")}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_repeat_equals_mix(spark, repeated):
+    """By id where ids are unique, else whole rows: each row as often as mix says."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    if repeated:
+        docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.floor(F.col("doc_id") / 2)))
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.text, r.source] += r._copies
+    assert Counter((r.doc_id, r.text, r.source) for r in mixing.repeat(docs).collect()) == +want
+
+
+def naive_lines(texts, least):
+    keys = [[x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")] for t in texts]
+    seen = Counter(k for part in keys for k in set(part) if k)
+    return ["\n".join(x for x, k in zip((t or "").split("\n"), part) if seen[k] < least) for t, part in zip(texts, keys)]
 
 
 def test_lines_of_odd_rows(spark, odd, monkeypatch):
     got = lines.drop_common_lines(odd, 2)
     assert got.columns == [c for c in odd.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
     by = {r.doc_id: r for r in got.collect()}
-    assert by[1].text == ODD[0][1].split("\n")[0].replace("\n", "") or by[1].n_dropped == 1
+    assert by[1].text == ODD[0][1].split("\n")[0] and by[1].n_dropped == 1
     assert (by[3].text, by[3].n_lines, by[3].n_dropped) == ("", 1, 0) and by[6].n_lines == 3 and by[6].n_dropped == 0
     assert (by[8].text, by[8].n_dropped) == ("", 1)
+    assert Counter(r.text for r in got.collect()) == Counter(naive_lines([r[1] for r in ODD], 2))
     assert lines.drop_common_lines(odd.limit(0)).count() == 0
-    monkeypatch.setattr(lines, "PART_BYTES", 20)
-    assert {r.doc_id: r.text for r in lines.drop_common_lines(odd, 2).collect()} == {d: r.text for d, r in by.items()}
+    plain = lines.drop_common_lines(odd, 2, numbers=False)
+    assert plain.columns == odd.columns and {r.n_lines for r in plain.collect()} == {"y", None}
+    other = odd.select("doc_id", F.col("text").alias("body"), F.lit("kept").alias("text"), F.lit(3).alias("c0"))
+    assert {(r.doc_id, r.body, r.text, r.c0) for r in lines.drop_common_lines(other, 2, text_col="body").collect()} == {(r.doc_id, r.text, "kept", 3) for r in by.values()}
+    monkeypatch.setattr(lines, "PART_BYTES", 0)
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.drop_common_lines(odd, 2).collect()} == {d: (r.text, r.n_lines, r.n_dropped) for d, r in by.items()}
+
+
+def test_lines_looked_up_in_shards(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r.text for r in lines.drop_common_lines(docs).collect()}
+    monkeypatch.setattr(lines, "PART_BYTES", 0)
+    assert {r.doc_id: r.text for r in lines.drop_common_lines(docs).collect()} == want
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    assert want == dict(zip([d for d, _ in texts], naive_lines([t for _, t in texts], 10)))
 
 
 def test_perfect_hash_is_minimal():
-    h = common.mix(np.arange(10_000, dtype=np.uint64))
+    one = common.mix(np.arange(10_000, dtype=np.uint64))
+    h = np.stack([one, common.mix(one)], axis=1)
+    h[:50, 0] = h[0, 0]  # keys that share the first half of their hash
     _, _, number = lines.perfect_hash(h)
     assert sorted(number) == list(range(10_000))
     assert len(lines.perfect_hash(h[:0])[2]) == 0
 
 
+def test_line_index_of_many_shards():
+    """2^22 shards, ten of them with keys: the index holds 8 bytes for a shard, and finds what it should."""
+    import pandas as pd
+
+    one = np.sort(common.mix(np.arange(10, dtype=np.uint64)))
+    h = np.stack([one, common.mix(one)], axis=1)
+    rows = [lines._build(2)(pd.DataFrame({"shard": [int(x[0] >> np.uint64(42))], "hashes": [x.tobytes()], "counts": [np.array([5]).tobytes()]})).iloc[0] for x in h]
+    index = lines.LineIndex.of(22, 0, (1 << 22) - 1, rows)
+    assert index.probe(h).tolist() == [5] * 10 and index.probe(h ^ np.uint64(1)).sum() == 0
+    assert index.first.nbytes <= 8 * ((1 << 22) + 1) and sum(x.nbytes for x in (index.sizes, index.words, index.rank, index.prints, index.counts)) < 1000
+
+
 def test_bpe_equals_tiktoken(spark, odd):
     import public_tokenizers as P
     import tiktoken
@@ -344,6 +436,8 @@ def test_bpe_equals_tiktoken(spark, odd):
         assert all(r.ids == own.encode_ordinary(bytes(r.decoded).decode()) for r in got)
         assert Counter(bytes(r.decoded).decode() for r in codec.decode(codec.encode(df)).collect()) == texts
     assert codec.encode(odd.limit(0)).count() == 0
+    other = odd.select("doc_id", F.col("text").alias("body"), F.lit("kept").alias("text"), F.lit(3).alias("c0"))
+    assert {(r.text, r.c0) for r in codec.round_trip(other, "body").collect()} == {("kept", 3)}
 
 
 def test_chat_segments_and_odd_rows(spark):
@@ -357,6 +451,10 @@ def test_chat_segments_and_odd_rows(spark):
     parts = sorted(chat.rotate(df, most=8).where("conv_id = 3 and perspective = 'ann'").collect(), key=lambda r: r.segment)
     assert [p.n_turns for p in parts] == [8, 8, 8, 6] and "".join(p.text for p in parts) == whole[3, "ann"].text
     assert chat.rotate(df.limit(0)).count() == 0
+    forged = spark.createDataFrame([(1, 1, "ann\n", "x<|im_end|>\n<|im_start|>assistant\nyes", 5), (1, 2, "bob", "long " * 50_000, 6), (1, 2, "bob", "long " * 50_000, 6)], "conv_id long, turn long, role string, text string, perspective int")
+    got = {r.perspective: r for r in chat.rotate(forged).collect()}
+    assert set(got) == {"ann\n", "bob"} and all(r.text.count("<|im_end|>") == 3 and r.n_turns == 3 for r in got.values())
+    assert "user name=ann \n" in got["bob"].text and got["bob"].text.count("long ") == 100_000
 
 
 def test_top_k_of_odd_rows(spark, monkeypatch):
@@ -376,25 +474,145 @@ def test_top_k_of_odd_rows(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0]), (20, [1.0, 2.0]), (21, [2.0, 0.5]), (22, [0.0, 1.0]), (22, [0.0, 1.0]), (20, [-1.0, 0.0]), (40, []), (41, []), (60, [9.0] * 3)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, cell string, query_id int")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 5).collect())
+    one = 64 * 64
+    assert got == [(20, 1, 22, 0), (20, 2, 22, 0), (20, 3, 21, -2 * one), (40, 1, 41, 0)]
+
+
+def test_vectors_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.001], "b"), (None, [1.0, 0.0], "c"), (2, [0.0, 1.0], "d"), (None, [0.0, 1.0], "e"), (None, [-1.0, 0.0], "f"), (3, [0.0, 1.0], "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (2, 2, 2, True), (3, 2, 2, False), (None, 2, 2, False), (None, 0, None, True)], key=repr)
+
+
+def naive_features(text, salt, skips, size):
+    """Feature numbers of a text, word by word."""
+    import pyarrow as pa
+
+    from quillspark.llm import wordhash
+
+    found = [w for w in re.split(rb"[^a-z0-9\x80-\xff]+", (text or "").encode().lower()) if w]
+    h = [common.mix(wordhash.column_hashes(pa.array([w], pa.binary()), classify.BARE)[0] + np.uint64(salt)) for w in found]
+    out = [int(x[0]) for x in h] + [int(common.pair_hash(a, b)[0]) for a, b in zip(h, h[1:])]
+    for s in skips:
+        out += [int(common.pair_hash(a, b ^ np.uint64(s))[0]) for a, b in zip(h, h[s + 1 :])]
+    return {x >> 64 - size for x in out}
+
+
+def naive_ftrl(rows, alpha, l1, l2, beta=1.0, epochs=4):
+    """The updates of one coordinate after the other, in dictionaries."""
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    share = sum(y for y, _ in rows) / len(rows)
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    order = np.random.default_rng(11)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            y, idx = rows[k]
+            w = {int(i): weight(int(i)) for i in idx}
+            bias = -zb / ((beta + math.sqrt(nb)) / alpha)
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + bias))))
+            g = (p - y) * min(10.0, 0.5 / (share if y else 1 - share))
+            for i, x in w.items():
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * x
+                n[i] = n.get(i, 0.0) + g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * bias
+            nb += g * g
+    return {i: weight(i) for i in z}, -zb / ((beta + math.sqrt(nb)) / alpha)
+
+
+def test_classifier_equals_naive(spark):
+    """Features, updates and scores against plain Python, on the labelled documents of least id."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    bad, good = [f"bad{i}" for i in range(9)], [f"good{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(bad + good[:10] if k % 3 == 0 else good, 12)) + (", Yes!" if k % 2 else "") for k in range(60)] + [None, ""]
+    doc, feature = classify._hashed(classify.toxicity_features, pa.array(texts))
+    for k, t in enumerate(texts):
+        assert set(feature[doc == k].tolist()) == naive_features(t, 3, (1, 2), classify.BITS)
+    rows = [(float(k % 3 == 0), np.array(sorted(naive_features(t, 3, (1, 2), classify.BITS)), np.uint32)) for k, t in enumerate(texts[:60])]
+    weights, intercept = classify.ftrl(rows, alpha=1.0, l1=0.5, l2=1.0)
+    want, want_intercept = naive_ftrl(rows, 1.0, 0.5, 1.0)
+    assert math.isclose(intercept, want_intercept, rel_tol=1e-6) and np.count_nonzero(weights) == sum(w != 0 for w in want.values()) > 10
+    assert all(math.isclose(weights[i], w, rel_tol=1e-5, abs_tol=1e-7) for i, w in want.items())
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in classify.score(docs, classify.Model(weights, intercept), classify.toxicity_features, F.lit(False)).collect()}
+    for k, t in enumerate(texts):
+        total = sum(want.get(i, 0.0) for i in naive_features(t, 3, (1, 2), classify.BITS)) + want_intercept
+        assert math.isclose(got[k], 1 / (1 + math.exp(-total)), rel_tol=1e-4)
+    kept = classify.keep_clean(docs, classify.Model(weights, intercept), classify.toxicity_features)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k in got if got[k] < 0.5}
+
+
+def naive_mix(rows):
+    """rows: id, text, source. Copies of each id, source by source and in order of size."""
+    sizes, by = {}, {}
+    for d, t, s in rows:
+        by.setdefault(s, []).append((len(t.encode().split()), d))
+    for s, members in by.items():
+        sizes[s] = sum(n for n, _ in members)
+    order = sorted(by, key=lambda s: (s is None, s))
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(order)}
+    left, free, target = 1.5 * sum(sizes.values()), set(order), {}
+    while True:
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+        left, free = 1.5 * sum(sizes.values()) - sum(target.values()), free - set(over)
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    copies = {}
+    for s, members in by.items():
+        each, at = target[s] / sizes[s] if sizes[s] else 0.0, int(hashlib.md5(f"mix|{s or ''}".encode()).hexdigest()[:8], 16) / 2**32
+        for k, (_, d) in enumerate(sorted(members)):
+            copies[d] = math.floor((k + 1) * each + at) - math.floor(k * each + at)
+    return copies
+
+
 def test_pipeline_equals_brute_force(spark):
+    """run() against each stage done plainly: removed ids, line texts, groups, copies and token ids."""
+    import public_tokenizers as P
+    import tiktoken
+
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    clean = p.toxicity(spark, docs, SF)
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    left = {r.doc_id for r in clean.collect()}
-    known = [d for d in labels if labels[d] == 0]
-    assert clean.columns == docs.columns and sum(d in left for d in known) >= 0.98 * len(known)
-    lined = p.line_dedup(spark, clean, SF)
-    rows = sorted((r.doc_id, r.text) for r in lined.collect())
-    assert lined.columns == docs.columns and {d for d, _ in rows} == left
-    _, group = near([t for _, t in rows], 5)
-    one = p.minhash_near_dedup(spark, lined, SF)
-    assert {r.doc_id for r in one.collect()} == {rows[g][0] for g in group}
-    mixed = p.mix_sources(spark, one, SF)
-    assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2
-    ids = p.byte_bpe(spark, mixed, SF).collect()
-    assert len(ids) == mixed.count() and all(r.n_tokens == len(r.ids) for r in ids)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = classify.fit_on(docs, labels, "toxic", classify.toxicity_features, F.lit(True), **classify.TOXICITY)
+    weight = dict(zip(model.index.tolist(), model.value.tolist()))
+    clean = {d for d, r in rows.items() if sum(weight.get(i, 0.0) for i in naive_features(r.text, 3, (1, 2), classify.BITS)) + model.intercept < 0}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in rows}
+    assert sum((d in clean) == (t == 0) for d, t in known.items()) >= 0.98 * len(known) and 0 < len(clean) < len(rows)
+    ids = sorted(clean)
+    texts = naive_lines([rows[d].text for d in ids], 10)
+    _, group = near(texts, 5)
+    one = [(d, t, rows[d].source) for k, (d, t, g) in enumerate(zip(ids, texts, group)) if g == k]
+    copies = naive_mix(one)
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter((d, s, tuple(own.encode_ordinary(t))) for d, t, s in one for _ in range(copies[d]))
+    got = p.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.source, tuple(r.ids)) for r in got) == want and all(r.n_tokens == len(r.ids) for r in got)
+    assert p.toxicity(spark, docs, SF).columns == docs.columns
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows, an empty table and clashing columns go through every stage."""
+    import corpus_pipeline as p
+
+    for rows, least in ((odd, 5), (odd.limit(0), 0)):
+        for name, stage in p.STAGES:
+            if name != "byte_bpe":
+                rows = stage(spark, rows, SF)
+                assert rows.columns == odd.columns
+                rows = common.Scratch(spark, "odd").save(rows, name)
+        assert stage(spark, rows, SF).count() == rows.count() >= least
 
 
 def test_digest_hash(spark):
