@@ -22,19 +22,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars follows the text. Documents stay, also when nothing is left of them."""
-    rows = lines.drop_common_lines(docs, 10, 1)
+    rows = lines.drop_common_lines(docs, 10, 1, numbers=False)
     return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; the smallest doc_id of each group stays. Texts without words are no copies."""
+    """Five-word shingles, similarity 0.8 or more; the smallest doc_id of each group stays. Texts without words are no copies, and
+    an id that repeats with another text loses only copies."""
     return minhash.keep_one(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes twice is two rows."""
-    rows = mixing.mix(docs).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return mixing.repeat(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
