@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, Shared, bounded_batches, fold, mix, pair_hash, slices, table
-from quillspark.llm.shards import look_up, split
+from quillspark.llm.shards import look_up
 from quillspark.llm.wordhash import column_hashes
 
 BASE, PRIOR = 1.5, 150.0
@@ -37,7 +37,7 @@ BITS_PER_ENTRY, PROBES = 16, 5
 #: The most that is broadcast, filter and exact counts together, and the most that the driver holds of it at once (one shard at least).
 SHARED_BYTES, PART_BYTES = 1 << 29, 1 << 26
 #: Bytes of training text for each shard, and of text for each block of counts that a task sends.
-SHARD_TEXT, BLOCK_TEXT = 8 << 20, 16 << 20
+SHARD_TEXT, BLOCK_TEXT = 8 << 20, 12 << 20
 
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
 
@@ -58,16 +58,11 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, before, n + 1
 
 
-def _tally(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _tally(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order, and the sum of their counts."""
-    if c is None:
-        h = np.sort(h)
-    else:
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    if c is None:
-        return h[new], np.diff(np.append(new, len(h)))
     return h[new], np.add.reduceat(c, new) if len(new) else c
 
 
@@ -75,16 +70,21 @@ def _count(shard_bits: int):
     """Blocks of counts, of words (kind 1) and of word pairs (kind 2)."""
     schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
+    def cells(x: np.ndarray, cut: np.ndarray) -> pa.Array:
+        """Stretches of x as binary cells, without a copy."""
+        return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
     def block(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        whole = np.concatenate(parts)
+        h = np.concatenate(parts)
         parts.clear()
-        h, c = _tally(whole)
+        h.sort()
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        c, h = np.diff(np.append(new, len(h))), h[new]
         c = c.astype(np.uint8 if c.max(initial=1) < 256 else np.uint64)
-        rows, at = [], 0
-        for s, some in split(h, shard_bits):
-            rows.append((kind, s, some.tobytes(), c[at : at + len(some)].tobytes()))
-            at += len(some)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        cut = np.searchsorted(h >> np.uint64(64 - shard_bits), np.arange((1 << shard_bits) + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cut))
+        cut = np.append(cut[some], len(h))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), cells(h, cut), cells(c, cut)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {1: [], 2: []}, 0
@@ -121,14 +121,6 @@ def greatest(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, _LEAST[np.asarray(levels, np.int64) + 1] - 1, 0.0)
 
 
-def _combine(group: pd.DataFrame) -> pd.DataFrame:
-    """One shard: hashes and counts as arrays, of words or of word pairs."""
-    hs = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
-    cs = [np.frombuffer(c, np.uint8 if len(c) * 8 == len(h) else np.uint64).astype(np.int64) for h, c in zip(group["hashes"], group["counts"], strict=True)]
-    h, c = _tally(np.concatenate(hs), np.concatenate(cs))
-    return pd.DataFrame({"kind": [int(group["kind"].iat[0])], "shard": [int(group["shard"].iat[0])], "hashes": [h.tobytes()], "counts": [c.tobytes()], "n": [int(c.sum())], "types": [len(h)]})
-
-
 def _key(h: np.ndarray, kind: int) -> np.ndarray:
     """The key of a word (kind 1) or a word pair (kind 2) in the filter."""
     return mix(h ^ np.uint64(kind))
@@ -144,15 +136,18 @@ def _entry(key: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[n
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
-    """A shard's filter, words and word pairs together, and the exact counts of its words."""
+    """A shard: blocks added up, the filter of its words and word pairs together, and the exact counts of its words."""
     keys, levels, known = [], [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for kind, h, c in zip(group["kind"], group["hashes"], group["counts"], strict=True):
-        h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
-        keys.append(_key(h, int(kind)))
-        levels.append(level(c))
-        known = (h, c) if kind == 1 else known
+    for kind in (1, 2):
+        own = group[group["kind"] == kind]
+        if len(own):
+            cs = [np.frombuffer(c, np.uint8 if len(c) * 8 == len(h) else np.uint64).astype(np.int64) for h, c in zip(own["hashes"], own["counts"], strict=True)]
+            h, c = _tally(np.concatenate([np.frombuffer(x, np.uint64) for x in own["hashes"]]), np.concatenate(cs))
+            keys.append(_key(h, kind))
+            levels.append(level(c).astype(np.uint8))
+            known = (h, c) if kind == 1 else known
     key, top = np.concatenate(keys), np.concatenate(levels)
-    size = max(1, -(-int(top.sum()) * BITS_PER_ENTRY // 64))
+    size = max(1, -(-int(top.sum(dtype=np.int64)) * BITS_PER_ENTRY // 64))
     filled, j = np.zeros(size, np.uint64), 1
     while len(key):
         for at in range(0, len(key), 1 << 18):
@@ -160,7 +155,7 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
             np.bitwise_or.at(filled, word, bits)
         j += 1
         key, top = key[top >= j], top[top >= j]
-    return pd.DataFrame({"shard": [int(group["shard"].iat[0])], "filter": [filled.tobytes()], "hashes": [known[0].tobytes()], "counts": [known[1].tobytes()]})
+    return pd.DataFrame({"shard": [int(group["shard"].iat[0])], "filter": [filled.tobytes()], "hashes": [known[0].tobytes()], "counts": [known[1].tobytes()], "n": [int(known[1].sum())]})
 
 
 class Filter:
@@ -330,19 +325,15 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     size = train.agg(F.count(F.lit(1)).alias("ends"), F.sum(F.octet_length("text")).alias("bytes")).first()
     shard_bits = min(24, max(3, math.ceil(math.log2(max(1, (size.bytes or 0) / SHARD_TEXT)))))
     blocks = train.mapInArrow(_count(shard_bits), "kind int, shard int, hashes binary, counts binary")
-    counted = blocks.groupBy("kind", "shard").applyInPandas(_combine, "kind int, shard int, hashes binary, counts binary, n long, types long")
-    counted = scratch.save(counted, "counts")
-    about = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("types").alias("v")).collect()}
-    totals = {"n": about[1].n if about else 0, "v": about[1].v if about else 0, "ends": size.ends}
-    built = counted.select("kind", "shard", "hashes", "counts").groupBy("shard").applyInPandas(_build, "shard int, filter binary, hashes binary, counts binary")
+    built = blocks.groupBy("shard").applyInPandas(_build, "shard int, filter binary, hashes binary, counts binary, n long")
     built = scratch.save(built, "filter")
-    scratch.drop("counts")
-
+    about = built.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("hashes") / 8), F.lit(0)).cast("long").alias("v")).first()
+    totals = {"n": about.n, "v": about.v, "ends": size.ends}
     sizes = {r.shard: (r.f, r.n) for r in built.select("shard", (F.octet_length("filter") / 8).cast("long").alias("f"), (F.octet_length("hashes") / 8).cast("long").alias("n")).collect()}
     if sum(8 * f + 16 * n for f, n in sizes.values()) <= SHARED_BYTES:
         rows = plain.mapInArrow(_scores(_share(built, sizes, shard_bits, totals), shard_bits, totals), OUT_SQL)
     else:
-        rows = look_up(plain, _asks, built, shard_bits, _answer(shard_bits), _join(totals), OUT_SQL, scratch)
+        rows = look_up(plain, _asks, built.drop("n"), shard_bits, _answer(shard_bits), _join(totals), OUT_SQL, scratch)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
