@@ -24,9 +24,9 @@ PHRASES = (
     ("components", "component"), ("component", "component"), ("phases", "phase"), ("phase", "phase"), ("evaluation", "evaluation"), ("conclusion", "conclusion"),
 )
 STARTS = (
-    "existing design overview architecture open-source common future requirements capabilities limitations conclusion ways what how why introduction background summary".split()
-    + ["design patterns", "design pattern", "architectures", "open source"]
-)
+    "existing", "design", "design patterns", "design pattern", "overview", "architecture", "architectures", "open-source", "open source", "common", "future", "requirements",
+    "capabilities", "limitations", "conclusion", "ways", "what", "how", "why", "introduction", "background", "summary",
+)
 LEAST_CONFIDENCE, LEAST_LAYOUT_SCORE, SEMANTIC_CONFIDENCE = 0.65, 5.0, 0.85
 
 

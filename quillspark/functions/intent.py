@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import headings
 from quillspark.functions.phrases import clean
 from quillspark.functions.text import tokens
 
@@ -48,7 +49,9 @@ SECTION_PHRASES = (
     "different", "types of", "type of", "kinds of", "kind of", "what are", "list ", "mentioned", "explain", "meaning", "define", "architecture", "architectures",
     "design pattern", "design patterns", "implementation pattern", "architcture", "architecure", "capability", "capabilities", "lineage",
 )
-TOPIC_WEAK = "what are different mentioned pdf document explain tell me the in of a an is was be this that how does do".split()
+TOPIC_WEAK = (
+    "what", "are", "different", "mentioned", "pdf", "document", "explain", "tell", "me", "the", "in", "of", "a", "an", "is", "was", "be", "this", "that", "how", "does", "do",
+)
 SPELLING = {"architcture": "architecture", "architecure": "architecture", "architectur": "architecture", "architectues": "architectures"}
 NUMBER_PAIRS = (
     ("architecture", "architectures"), ("capability", "capabilities"), ("pattern", "patterns"), ("section", "sections"), ("design_pattern", "design_patterns"),
@@ -95,31 +98,73 @@ def with_numbers(terms: Column) -> Column:
 
 
 def topic_terms(question: Column) -> Column:
-    return with_numbers(F.filter(F.array_distinct(tokens(question)), lambda w: ~w.isin(TOPIC_WEAK)))
+    return with_numbers(F.filter(F.array_distinct(tokens(question)), lambda w: ~w.isin(list(TOPIC_WEAK))))
 
 
 def question_graph(question: Column) -> Column:
-    """(kind, entity, relation, category) of a question: forward, reverse, definition, category or generic; the first that fits."""
+    """(kind, entity, relation, category) of a question: forward, reverse, definition, category or generic; the first that fits.
+
+    The forms that a question has give raw entities in order; one expression cleans them all and the first plausible one counts.
+    """
     q = F.trim(F.regexp_replace(question, r"\s+", " "))
-    made = lambda kind, entity=None, relation=None, category=None: F.struct(
-        F.lit(kind).alias("kind"), (F.lit(None).cast("string") if entity is None else entity).alias("entity"), F.lit(relation).cast("string").alias("relation"), F.lit(category).cast("string").alias("category")
-    )
-    cases = [((q == "") | q.rlike(f"(?i){WEAK_QUESTION}"), made("generic"))]
-
-    def case(pattern: str, kind: str, relation: str) -> None:
-        entity = clean(F.regexp_extract(q, f"(?i){pattern}", 1))
-        cases.append((q.rlike(f"(?i){pattern}") & F.length(entity).between(2, 120) & (F.size(tokens(entity)) > 0), made(kind, entity, relation)))
-
-    for relation, word in FORWARD:
-        case(rf"^what\s+does\s+(.+?)\s+{word}\??\s*$", "forward", relation)
-    for relation, word in REVERSE:
-        case(rf"^what\s+{word}\s+(.+?)\??\s*$", "reverse", relation)
-    for pattern in DEFINED:
-        case(pattern, "definition", "definition")
-    named = F.transform(F.filter(entities(question), lambda e: F.length(e).between(2, 120) & (F.size(tokens(e)) > 0)), clean)
-    cases.append((intent(question).isin(*EXPANSION) & (F.size(named) > 0), made("definition", F.try_element_at(named, F.lit(1)), "definition")))
+    text = lambda x: F.lit(x).cast("string")
+    made = lambda kind, entity=None, relation=None, category=None: F.struct(text(kind).alias("kind"), (text(None) if entity is None else entity).alias("entity"), text(relation).alias("relation"), text(category).alias("category"))
+    forms = [(rf"(?i)^what\s+does\s+(.+?)\s+{word}\??\s*$", "forward", relation) for relation, word in FORWARD]
+    forms += [(rf"(?i)^what\s+{word}\s+(.+?)\??\s*$", "reverse", relation) for relation, word in REVERSE]
+    forms += [(f"(?i){pattern}", "definition", "definition") for pattern in DEFINED]
+    found = F.array_compact(F.array(*[F.when(q.rlike(p), made(kind, F.regexp_extract(q, p, 1), relation)) for p, kind, relation in forms]))
+    named = F.when(intent(question).isin(*EXPANSION), F.transform(entities(question), lambda e: made("definition", e, "definition")))
+    every = F.concat(found, F.coalesce(named, F.array_except(found, found)))
+    cleaned = F.transform(every, lambda c: F.struct(c["kind"].alias("kind"), clean(c["entity"]).alias("entity"), c["relation"].alias("relation"), c["category"].alias("category")))
+    fits = F.try_element_at(F.filter(cleaned, lambda c: F.length(c["entity"]).between(2, 120) & (F.size(tokens(c["entity"])) > 0)), F.lit(1))
     asks = F.lower(q).rlike("what are|list|different|mentioned")
-    for words, name in NAMED_CATEGORIES:
-        cases.append((asks & F.lower(q).rlike(words), made("category", relation="mentions", category=name)))
-    hint = F.struct(F.lit("generic").alias("kind"), F.lit(None).cast("string").alias("entity"), F.when(intent(question).isin("WHERE_MENTIONED", "LIST_REQUEST"), "mentions").alias("relation"), F.lit(None).cast("string").alias("category"))
-    return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(cases), hint)
+    rest = F.struct(text("generic").alias("kind"), text(None).alias("entity"), F.when(intent(question).isin("WHERE_MENTIONED", "LIST_REQUEST"), "mentions").alias("relation"), text(None).alias("category"))
+    for words, name in reversed(NAMED_CATEGORIES):
+        rest = F.when(asks & F.lower(q).rlike(words), made("category", relation="mentions", category=name)).otherwise(rest)
+    return F.when((q == "") | q.rlike(f"(?i){WEAK_QUESTION}"), made("generic")).otherwise(F.coalesce(fits, rest))
+
+
+# What makes a question one that lists, or one about lineage.
+LISTED = ("different", "types", "kinds", "mentioned", "architectures", "patterns", "steps", "capabilities", "approaches", "options", "categories", "families", "models")
+LINEAGE_VERBS = ("explain", "meaning", "define", "describe", "what")
+ENUMERATED = ("architecture", "design_pattern", "pattern", "capability")
+
+
+def lists(question: Column) -> Column:
+    """Whether a question asks for a list."""
+    q = F.lower(F.trim(question))
+    return (q != "") & (q.rlike("^(?:what are|list)") | q.rlike("|".join(LISTED)))
+
+
+def about_lineage(question: Column) -> Column:
+    q = F.lower(question)
+    return q.contains("lineage") & q.rlike("|".join(LINEAGE_VERBS))
+
+
+def explained(explanation: Column, base: Column) -> Column:
+    """The parts of an explanation that say something."""
+    return F.concat_ws(" ", *[F.when(F.trim(x) != "", F.trim(x)) for x in (explanation, base)])
+
+
+def node_id(label: Column, kind: Column) -> Column:
+    """The id of a node of a question's graph."""
+    return F.concat(F.lit("qnode-"), F.substring(F.sha2(F.concat_ws(":", kind, label).cast("binary"), 256), 1, 10))
+
+
+def relational(relation: Column, category: Column) -> Column:
+    """Whether a question asks for a relation, and not for a definition or a list."""
+    r = F.replace(relation, F.lit(" "), F.lit("_"))
+    listed = F.coalesce(category.isin(list(ENUMERATED)) | (r == "mentions") & category.isNotNull(), F.lit(False))
+    return F.coalesce((r != "") & (r != "definition"), F.lit(False)) & ~listed
+
+
+def target_category(question: Column, section_title: Column | None = None) -> Column:
+    """The category that a question asks for: design patterns and architectures by their words, else the section's, else the question's."""
+    q = F.lower(question)
+    named = F.when(q.contains("design") & q.contains("pattern"), "design_pattern").when(q.contains("architect"), "architecture")
+    return F.coalesce(named, *([headings.category(section_title)] if section_title is not None else []), headings.category(question))
+
+
+def graphs(asked: DataFrame) -> DataFrame:
+    """Questions with ``kind, entity, relation, category``. A generator keeps the rules from being computed once for each use of a column."""
+    return asked.select(*asked.columns, F.inline(F.array(question_graph(F.col("question")))))

@@ -49,5 +49,30 @@ def valid_endpoint(value: Column, sentence: Column) -> Column:
 
 
 def trim_span(raw: Column) -> Column:
-    """Cuts an entity at a clause word or separator."""
-    return strip(F.regexp_replace(F.regexp_replace(raw, r"(?is)\s+(?:which|that|where|with)\b.*$", ""), r"(?s)[:;,.].*$", ""))
+    """Cuts an entity at a clause word, an example or a separator."""
+    x = F.regexp_replace(strip(raw), r"(?is)\s+(?:which|that|where|with|when|because|while|although|this|for|and\s+the)\b.*$", "")
+    x = F.regexp_replace(x, r"(?is)(?:\s+for example\b|\s+such as\b|\s+including\b|[:;,.]).*$", "")
+    return F.regexp_replace(x, r"""^[ \t\n\r.,;:!?"'()\[\]]+|[ \t\n\r.,;:!?"'()\[\]]+$""", "")
+
+
+def valid_entity(value: Column) -> Column:
+    """3 to 80 characters, a letter among them."""
+    return F.length(value).between(3, 80) & value.rlike(r"\p{L}")
+
+
+def valid_phrase(value: Column) -> Column:
+    """A valid entity without link or citation, with at most one comma or semicolon and at most two fifths digits."""
+    n = lambda p: F.regexp_count(value, F.lit(p))
+    return valid_entity(value) & ~value.rlike(r"(?i)https?://|www\.|://|^http|\[\d+\]|\(\d{4}\)|et al\.") & (n("[,;]") < 2) & (n("[0-9]") <= F.length(value) * 0.4)
+
+
+def capitalised(sentence: Column) -> Column:
+    """Runs of up to six capitalised words, cleaned, 3 to 60 characters; the first spelling of each."""
+    found = F.regexp_extract_all(sentence, F.lit(r"\b([A-Z][A-Za-z0-9]*(?:\s+(?:and\s+)?[A-Z][A-Za-z0-9]*){0,5})\b"), F.lit(1))
+    some = F.filter(F.transform(found, clean), lambda x: F.length(x).between(3, 60) & F.lower(sentence).contains(F.lower(x)))
+    return first_spellings(some)
+
+
+def first_spellings(values: Column) -> Column:
+    """Of values that differ in case only, the first."""
+    return let(F.transform(values, F.lower), lambda low: F.filter(values, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))

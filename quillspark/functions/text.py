@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 # The token pattern, stopwords and abbreviations decide which results are right.
 TOKEN = r"[A-Za-z]{2,}-\d+|[A-Za-z]{2,}\d+[A-Za-z0-9]*|\d+(?:\.\d+)?|[A-Za-z]+"
 STOPWORDS = (
-    "a an and are as at be by for from has he in is it its of on that the to was were will with this but they have had what when where who which "
-    "or not can all been into than then there their them these those we you your our if so do does did about over under between through during "
-    "before after above below up down out off again further once"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with", "this",
+    "but", "they", "have", "had", "what", "when", "where", "who", "which", "or", "not", "can", "all", "been", "into", "than", "then", "there", "their", "them", "these", "those",
+    "we", "you", "your", "our", "if", "so", "do", "does", "did", "about", "over", "under", "between", "through", "during", "before", "after", "above", "below", "up", "down", "out",
+    "off", "again", "further", "once",
+)
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "al.", "vs.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Fig.", "No.", "Vol.", "approx.", "dept.", "Inc.", "Ltd.", "U.S.", "U.K.")
 SNIPPET_CHARS = 700
 
@@ -25,7 +26,7 @@ def tokens(text: Column) -> Column:
 
 
 def is_stopword(token: Column) -> Column:
-    return token.isin(STOPWORDS)
+    return token.isin(list(STOPWORDS))
 
 
 def search_terms(text: Column) -> Column:

@@ -21,7 +21,7 @@ SOUGHT = (("list suppliers of JAPAN", "japan list of suppliers"), ("explain the
 
 def _asked(spark):
     rows = spark.createDataFrame([(n, q[0]) for n, q in enumerate(ASKED)], "question_id int, question string")
-    return rows.select("question_id", "question", i.question_graph(F.col("question")).alias("_g")).select("question_id", "question", "_g.*")
+    return i.graphs(rows)
 
 
 def _graph(spark, sf_dir):

@@ -19,7 +19,10 @@ _VALUES = ", ".join(f"({n}, '{q.replace(chr(39), chr(39) * 2)}')" for n, q in en
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer partitions than there are cores are spread first, which never happens to a large table."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def _questions(spark: SparkSession) -> DataFrame:
@@ -166,7 +169,11 @@ _GRAPH = """u as (select distinct s_name, p_name from lineitem join supplier on
 g as (select distinct lower(trim(s_name)) as source, 'uses' as relation, lower(trim(p_name)) as target from u
   union select lower(r_name), 'contains', lower(n_name) from nation join region on n_regionkey = r_regionkey)"""
 
+_SUBJECTS = ", ".join(f"regexp_replace(regexp_extract(text, '(?i){p}', 1), '^[ ?.]+|[ ?.]+$', '', 'g')" for p in (*i.EXPLANATION, *i.DEFINITION))
+
 SQL = {
+    "question_entities": f"""with q(question_id, text) as (values {_VALUES}), f as (select question_id, regexp_extract_all(text, '{i.REQUIREMENT_ID}') || list_transform(regexp_extract_all(text, '"[^"]+"|''[^'']+'''), lambda x: trim(x[2:-2])) || list_filter([{_SUBJECTS}], lambda x: x <> '') as es from q)
+select question_id::int as question_id, array_to_string(list_filter(es, lambda x, n: list_position(list_transform(es, lambda y: lower(y)), lower(x)) = n), '; ') as entities from f""",
     "document_checksums": "select doc_id, sha256(text) as checksum, strlen(text)::bigint as size_bytes from documents",
     "distinct_documents": "select sha256(text) as checksum, min(doc_id) as doc_id, count(*) as copies from documents group by 1",
     "tokenize": f"select doc_id, len({_TOK})::bigint as n_tokens, sha256(array_to_string({_TOK}, ' ')) as normalized from documents",

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import headings, intent, phrases, text
 from quillspark.operators import evaluate, graph, index, schema, sections, structure
-from quillspark.plans import answers, catalog, outline
+from quillspark.plans import answers, catalog, extraction, outline
 from quillspark.sources import files
 
-SQL = catalog.SQL | outline.SQL | answers.SQL
-QUERIES = catalog.QUERIES | outline.QUERIES | answers.QUERIES
+SQL = catalog.SQL | outline.SQL | answers.SQL | extraction.SQL
+QUERIES = catalog.QUERIES | outline.QUERIES | answers.QUERIES | extraction.QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
