@@ -16,7 +16,7 @@ ASKED = (
     ("What design patterns are mentioned?", "category", None, "mentions", "design_pattern"), ("list all architectures", "category", None, "mentions", "architecture"),
     ("help me", "generic", None, None, None), ("where is FRANCE mentioned", "generic", None, "mentions", None), ("What does nothing here use?", "forward", "Nothing here", "uses", None),
 )
-SOUGHT = (("list suppliers of JAPAN", "japan list of suppliers"), ("explain the FRANCE annex", "annex france"), ("what are ASIA and EUROPE", "and asia europe"), ("what is the of", ""))
+SOUGHT = ("list suppliers of JAPAN", "explain the FRANCE annex", "what are ASIA and EUROPE", "what is the of", "list architecure requirements of BRAZIL")
 
 
 def _asked(spark):
@@ -54,7 +54,7 @@ def graph_answers(spark, sf_dir):
 
 def section_search(spark, sf_dir):
     found = structure.sections(structure.lines(_outline(spark, sf_dir))).withColumn("name", F.concat(F.lit("region-"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    asked = spark.createDataFrame([(n, q[0]) for n, q in enumerate(SOUGHT)], "question_id int, question string")
+    asked = spark.createDataFrame(list(enumerate(SOUGHT)), "question_id int, question string")
     return sections.search(asked, found)
 
 
@@ -98,7 +98,11 @@ nd as (select distinct unnest([source, target]) as entity from e), sd as (select
 al as (select question_id, entity, edge_id, ls + 6 as score, sentence from fr where ls > 0 union all select question_id, entity, '', ls + 5, '' from (select *, row_number() over (partition by question_id order by ls desc, entity) as k from sd where ls > 0) where k = 1),
 rk as (select *, row_number() over (partition by question_id order by score desc, sentence, lower(entity)) as "rank" from al), mt as (select * from rk where "rank" <= 5)""".replace("sd as (select question_id, entity,", "sd as (select question_id, nd.entity,")
 _TOK = lambda x: f"list_transform(regexp_extract_all({x}, '[A-Za-z]{{2,}}-\\d+|[A-Za-z]{{2,}}\\d+[A-Za-z0-9]*|\\d+(?:\\.\\d+)?|[A-Za-z]+'), lambda w: lower(w))"
-_SOUGHT = ", ".join(f"({n}, {_V(q.lower())}, {_V(w)})" for n, (q, w) in enumerate(SOUGHT))
+_SOUGHT = ", ".join(f"({n}, {_V(q.lower())})" for n, q in enumerate(SOUGHT))
+_SPELL = lambda w: f"coalesce({', '.join(f'case when {w} = {_V(a)} then {_V(b)} end' for a, b in i.SPELLING.items())}, {w})"
+_OTHER = "[" + ", ".join(f"{{'a': {_V(a)}, 'b': {_V(b)}}}" for x, y in i.NUMBER_PAIRS for a, b in ((x, y), (y, x))) + "]"
+_TERMS = f"""t0 as (select question_id, q, list_transform(list_filter(list_distinct({_TOK('q')}), lambda w: w not in ({', '.join(map(_V, i.TOPIC_WEAK))})), lambda w: {_SPELL('w')}) as r from asked),
+q as (select question_id, q, list_distinct(list_concat(r, list_transform(list_filter({_OTHER}, lambda x: list_contains(r, x.a)), lambda x: x.b))) as ts from t0)"""
 
 SQL = {
     "question_graphs": f"with {_G} select question_id::int as question_id, kind, entity, relation, category from q",
@@ -107,7 +111,7 @@ SQL = {
 select 'edge-' || substr(sha256(source || '|is_a|' || target), 1, 12) as edge_id, source, 'is_a' as relation, target from g""",
     "graph_answers": f"""with {_MATCH}, a as (select question_id, max(score)::double as confidence_score, list(entity order by "rank") as es from mt group by 1)
 select question_id::int as question_id, confidence_score, case when kind = 'reverse' then 'The following items implement ' || entity || ':' else entity || ' ' || relation || ':' end || chr(10) || array_to_string(list_transform(es, lambda x, n: n || '. ' || x), chr(10)) as answer from a join q using (question_id) where confidence_score >= 8""",
-    "section_search": f"""with {_SECTIONS}, q(question_id, q, w) as (values {_SOUGHT}), c as (select question_id, doc_id, section_id, title, start_line, lower(title) as t, {_TOK('title')} as tw, q, {_TOK('q')} as qw, list_filter(string_split(w, ' '), lambda x: x <> '') as ts from q cross join sec),
+    "section_search": f"""with {_SECTIONS}, asked(question_id, q) as (values {_SOUGHT}), {_TERMS}, c as (select question_id, doc_id, section_id, title, start_line, lower(title) as t, {_TOK('title')} as tw, q, {_TOK('q')} as qw, ts from q cross join sec),
 s as (select *, (len(list_intersect(ts, list_distinct(tw))) + len(list_filter(ts, lambda x: contains(t, x))) + case when contains(q, t) then 2 else 0 end + case when len(tw) > 0 and contains(array_to_string(qw, ' '), array_to_string(tw, ' ')) then 1.5 else 0 end
   + case when len(tw) > 0 and len(list_intersect(ts, list_distinct(tw))) = len(list_distinct(tw)) then 1 else 0 end)::double as score from c where len(ts) > 0),
 r as (select *, row_number() over (partition by question_id, doc_id order by score desc, start_line, section_id) as "rank" from s where score > 0) select question_id::int as question_id, doc_id, "rank"::int as "rank", section_id, title, score from r where "rank" <= 3""",
