@@ -49,7 +49,7 @@ def graph_definitions(spark, sf_dir):
 def graph_answers(spark, sf_dir):
     asked = _asked(spark)
     rows = graph.answers(asked, graph.match(asked, _graph(spark, sf_dir)))
-    return rows.select("question_id", "confidence_score", F.substring_index("answer", "\n\n", 1).alias("answer"))
+    return rows.select("question_id", "confidence_score", "answer")
 
 
 def section_search(spark, sf_dir):
@@ -63,8 +63,11 @@ def schema_categories(spark, sf_dir):
 
 
 def schema_candidates(spark, sf_dir):
-    rows = _supply(spark, sf_dir).where(F.col("sentence").contains(" uses "))
-    return schema.candidates(rows.select(F.lit(1).alias("doc_id"), F.lit(0).alias("ord"), "sentence")).groupBy("subject", "relation").agg(F.count(F.lit(1)).alias("objects"))
+    """Every triple of the supply's sentences and of sentences that relate nations and regions in each way; the first word names the document."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    told = F.array(*[F.concat("n_name", F.lit(f" {name} "), x) for name, _ in schema.CANDIDATES for x in (F.concat("r_name", F.lit(".")), F.lit("it."))])
+    rows = _supply(spark, sf_dir).union(n.join(r, n.n_regionkey == r.r_regionkey).select(F.explode(told)))
+    return schema.candidates(rows.select(F.substring_index("sentence", " ", 1).alias("doc_id"), F.lit(0).alias("ord"), "sentence"))
 
 
 def context_windows(spark, sf_dir):
@@ -109,8 +112,11 @@ SQL = {
     "graph_matches": f'with {_MATCH} select question_id::int as question_id, "rank"::int as "rank", entity, edge_id, score::double as score from mt',
     "graph_definitions": """with g as (select lower(n_name) as source, 'nation of ' || lower(r_name) as target from nation join region on n_regionkey = r_regionkey union select 'region ' || lower(r_name), 'home of ' || lower(n_name) from nation join region on n_regionkey = r_regionkey)
 select 'edge-' || substr(sha256(source || '|is_a|' || target), 1, 12) as edge_id, source, 'is_a' as relation, target from g""",
-    "graph_answers": f"""with {_MATCH}, a as (select question_id, max(score)::double as confidence_score, list(entity order by "rank") as es from mt group by 1)
-select question_id::int as question_id, confidence_score, case when kind = 'reverse' then 'The following items implement ' || entity || ':' else entity || ' ' || relation || ':' end || chr(10) || array_to_string(list_transform(es, lambda x, n: n || '. ' || x), chr(10)) as answer from a join q using (question_id) where confidence_score >= 8""",
+    "graph_answers": f"""with {_MATCH}, a as (select question_id, max(score)::double as confidence_score from mt group by 1),
+es as (select question_id, list(entity order by k) as es from (select question_id, entity, min("rank") as k from mt group by 1, 2) group by 1),
+ss as (select question_id, list('- ' || sentence order by k) as ss from (select question_id, sentence, min("rank") as k from mt where sentence <> '' group by 1, 2) group by 1)
+select question_id::int as question_id, confidence_score, case when kind = 'reverse' then 'The following items implement ' || entity || ':' else entity || ' ' || relation || ':' end || chr(10) || array_to_string(list_transform(es[:10], lambda x, n: n || '. ' || x), chr(10))
+  || coalesce(chr(10) || chr(10) || 'Supporting source sentences:' || chr(10) || array_to_string(ss[:6], chr(10)), '') as answer from a join es using (question_id) left join ss using (question_id) join q using (question_id) where confidence_score >= 8""",
     "section_search": f"""with {_SECTIONS}, asked(question_id, q) as (values {_SOUGHT}), {_TERMS}, c as (select question_id, doc_id, section_id, title, start_line, lower(title) as t, {_TOK('title')} as tw, q, {_TOK('q')} as qw, ts from q cross join sec),
 s as (select *, (len(list_intersect(ts, list_distinct(tw))) + len(list_filter(ts, lambda x: contains(t, x))) + case when contains(q, t) then 2 else 0 end + case when len(tw) > 0 and contains(array_to_string(qw, ' '), array_to_string(tw, ' ')) then 1.5 else 0 end
   + case when len(tw) > 0 and len(list_intersect(ts, list_distinct(tw))) = len(list_distinct(tw)) then 1 else 0 end)::double as score from c where len(ts) > 0),
@@ -119,7 +125,10 @@ r as (select *, row_number() over (partition by question_id, doc_id order by sco
 c as (select *, case when plain in {_WEAK} then null when contains(plain, 'design pattern') then 'design_pattern' {_CASES('plain', True)} {_CASES('joined', False)} when len(ws) = 1 and ws[1] not in {_WEAK} then ws[1] end as category from j),
 f as (select *, (case when plain in {_WEAK} then 0.2 {_FIRST} when category is not null then 0.75 else 0.4 end)::double as confidence from c), k as (select *, row_number() over (partition by doc_id, category order by confidence desc, start_line) as n from f where confidence >= 0.65 and length(category) > 1)
 select doc_id, category, title as source_section, confidence from k where n = 1 and not regexp_full_match(category, '[0-9]+')""",
-    "schema_candidates": "select s_name as subject, 'uses' as relation, count(distinct lower(p_name)) as objects from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey where length(p_name) >= 3 group by 1",
+    "schema_candidates": f"""with told as (select distinct s_name as s, 'uses' as relation, p_name as o, p_name as said from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
+  union all select r_name, 'contains', min(n_name), string_agg(n_name, ', ' order by n_name) from nation join region on n_regionkey = r_regionkey group by 1
+  union all select n_name, relation, r_name, r_name from nation join region on n_regionkey = r_regionkey cross join (values {", ".join(f"('{name}')" for name, _ in schema.CANDIDATES)}) w(relation))
+select distinct split_part(s, ' ', 1) as doc_id, s as subject, relation, upper(left(o, 1)) || substr(o, 2) as object, s || ' ' || relation || ' ' || said || '.' as sentence from told where length(said) between 3 and 80 and length(o) >= 3""",
     "context_windows": f"""with recursive {_PLACED}, ordered as (select *, row_number() over (partition by doc_id order by start_line) as k from cs),
 x as (select a.doc_id, a.start_line, a.text, length(a.text) < 120 or a.chunk_type = 'section' as short, min(b.start_line) as s, max(b.end_line) as e, string_agg(b.text, chr(10) || chr(10) order by b.k) as wide, max(a.end_line) as own from ordered a join ordered b on a.doc_id = b.doc_id and a.section_id = b.section_id and b.k between a.k - 1 and a.k + 3 group by 1, 2, 3, 4)
 select doc_id, start_line::int as start_line, (case when short then s else start_line end)::int as context_start, (case when short then e else own end)::int as context_end, sha256(case when short then wide else text end) as context_sha256 from x""",
