@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import intent as i
+from quillspark.functions import text as t
 from quillspark.operators import evaluate, graph, schema, sections, structure
-from quillspark.plans.catalog import _outline, _supply, _table
-from quillspark.plans.outline import _CASES, _FIRST, _PLACED, _PLAIN, _SECTIONS, _SINGULAR, _WEAK, _outline_parts
+from quillspark.plans.catalog import _ANY, _ENTITIES, _outline, _supply, _table
+from quillspark.plans.outline import _CASES, _CLEANED, _FIRST, _PLACED, _PLAIN, _SECTIONS, _SINGULAR, _WEAK, _outline_parts
 
-#: question, then what its graph must be: kind, entity, relation, category.
 ASKED = (
-    ("What does Supplier#000000001 use?", "forward", "Supplier#000000001", "uses", None), ("what does AFRICA contain", "forward", "AFRICA", "contains", None),
-    ("What implements the ASIA?", "reverse", "ASIA", "implements", None), ("What is EUROPE?", "definition", "EUROPE", "definition", None), ("meaning of JAPAN", "definition", "JAPAN", "definition", None),
-    ("What design patterns are mentioned?", "category", None, "mentions", "design_pattern"), ("list all architectures", "category", None, "mentions", "architecture"),
-    ("help me", "generic", None, None, None), ("where is FRANCE mentioned", "generic", None, "mentions", None), ("What does nothing here use?", "forward", "Nothing here", "uses", None),
+    "What does Supplier#000000001 use?", "what does AFRICA contain", "What implements the ASIA?", "What is EUROPE?", "meaning of JAPAN", "What design patterns are mentioned?",
+    "list all architectures", "help me", "where is FRANCE mentioned", "What does nothing here use?", "Explain \"the graph store\" and REQ-12", "", "what is ?", "List the different  capabilities",
 )
+#: Questions about every row of a table: its name column, and what is asked before and after the name.
+ABOUT = (("supplier", "s_name", "What does the ", " use?"), ("part", "p_name", "explain a ", ", which is sold"), ("nation", "n_name", "what does ", " depend  on"), ("region", "r_name", "What implements ", "?"), ("part", "p_name", "Where is ", " mentioned?"), ("nation", "n_name", "meaning of (", ")"))
 SOUGHT = ("list suppliers of JAPAN", "explain the FRANCE annex", "what are ASIA and EUROPE", "what is the of", "list architecure requirements of BRAZIL")
 
 
 def _asked(spark):
-    rows = spark.createDataFrame([(n, q[0]) for n, q in enumerate(ASKED)], "question_id int, question string")
-    return i.graphs(rows)
+    return i.graphs(spark.createDataFrame(list(enumerate(ASKED)), "question_id int, question string"))
 
 
 def _graph(spark, sf_dir):
@@ -31,7 +33,10 @@ def _graph(spark, sf_dir):
 
 
 def question_graphs(spark, sf_dir):
-    return _asked(spark).drop("question")
+    """Of literal questions and of questions about every supplier, part, nation and region."""
+    about = [_table(spark, sf_dir, name).select(F.concat(F.lit(before), column, F.lit(after)).alias("question")) for name, column, before, after in ABOUT]
+    rows = reduce(DataFrame.union, about, spark.createDataFrame([(q,) for q in ASKED], "question string")).distinct()
+    return i.graphs(rows)
 
 
 def graph_matches(spark, sf_dir):
@@ -87,7 +92,19 @@ def evaluation_summary(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (question_graphs, graph_matches, graph_definitions, graph_answers, section_search, schema_categories, schema_candidates, context_windows, evaluation_summary)}
 
 _V = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
-_G = "q(question_id, kind, entity, relation, category) as (values " + ", ".join(f"({n}, {', '.join(map(_V, q[1:]))})" for n, q in enumerate(ASKED)) + ")"
+_FORMS = [(f"^what\\s+does\\s+(.+?)\\s+{word}\\??\\s*$", "forward", name) for name, word in i.FORWARD] + [(f"^what\\s+{word}\\s+(.+?)\\??\\s*$", "reverse", name) for name, word in i.REVERSE] + [(p, "definition", "definition") for p in i.DEFINED]
+_ROWS = f"asked(text) as (select distinct * from (values {', '.join(f'({_V(q)})' for q in ASKED)}) union " + " union ".join(f"select {_V(a)} || {column} || {_V(b)} from {name}" for name, column, a, b in ABOUT) + ")"
+_INTENT = "case " + " ".join(f"when {_ANY(p)} then '{name}'" for name, p in i.INTENTS) + " else 'GENERAL_SEARCH' end"
+#: g: the graph of each question of asked(text). The forms of a question give raw entities in order; the first plausible one counts.
+_GRAPHS = f"""aq as (select text, trim(regexp_replace(text, '\\s+', ' ', 'g')) as w, {_INTENT} as intent, {_ENTITIES} as es from asked),
+fm as (select text, n, kind, relation, regexp_extract(w, '(?i)' || p, 1) as phrase from aq join (values {", ".join(f"({n}, {_V(p)}, '{kind}', '{name}')" for n, (p, kind, name) in enumerate(_FORMS))}) f(n, p, kind, relation) on regexp_matches(w, '(?i)' || p)
+  union all select text, 100 + generate_subscripts(es, 1), 'definition', 'definition', unnest(es) from aq where intent in ({", ".join(f"'{x}'" for x in i.EXPANSION)})),
+r as (select distinct phrase from fm), {_CLEANED},
+ft as (select text, arg_min(struct_pack(kind := kind, entity := cleaned, relation := relation), n) as f from fm join cl using (phrase) where length(cleaned) between 2 and 120 and len(regexp_extract_all(cleaned, {_V(t.TOKEN)})) > 0 group by 1),
+ct as (select aq.*, f, w = '' or regexp_matches(w, {_V("(?i)" + i.WEAK_QUESTION)}) as weak, case when regexp_matches(lower(w), 'what are|list|different|mentioned') then case {" ".join(f"when regexp_matches(lower(w), '{p}') then '{name}'" for p, name in i.NAMED_CATEGORIES)} end end as named from aq left join ft using (text)),
+g as (select text as question, case when weak then 'generic' when f is not null then f.kind when named is not null then 'category' else 'generic' end as kind, case when not weak then f.entity end as entity,
+  case when not weak then case when f is not null then f.relation when named is not null or intent in ('WHERE_MENTIONED', 'LIST_REQUEST') then 'mentions' end end as relation, case when not weak and f is null then named end as category from ct)"""
+_G = f"ids(question_id, text) as (values {', '.join(f'({n}, {_V(q)})' for n, q in enumerate(ASKED))}), asked as (select text from ids), {_GRAPHS}, q as (select question_id, kind, entity, relation, category from g join ids on question = text)"
 _FORM = lambda x: f"trim(regexp_replace(regexp_replace(lower(trim({x})), '\\s+', ' ', 'g'), '[^\\pL\\pN_\\s-]+', '', 'g'))"
 _NUM = lambda b: f"[{b}, case when {b} like '%s' and length({b}) > 3 then left({b}, length({b}) - 1) when not {b} like '%s' then {b} || 's' end, case when {b} like '%ies' and length({b}) > 4 then left({b}, length({b}) - 3) || 'y' when {b} like '%y' then left({b}, length({b}) - 1) || 'ies' end]"
 _LABEL = lambda a, b: f"(case when {a} = '' or {b} = '' then 0 when {a} = {b} then 5 when contains({a}, {b}) or contains({b}, {a}) then 3 when list_has_any(list_filter({_NUM(a)}, lambda v: v is not null), {_NUM(b)}) then 5 else 0 end)"
@@ -108,7 +125,7 @@ _TERMS = f"""t0 as (select question_id, q, list_transform(list_filter(list_disti
 q as (select question_id, q, list_distinct(list_concat(r, list_transform(list_filter({_OTHER}, lambda x: list_contains(r, x.a)), lambda x: x.b))) as ts from t0)"""
 
 SQL = {
-    "question_graphs": f"with {_G} select question_id::int as question_id, kind, entity, relation, category from q",
+    "question_graphs": f"with {_ROWS}, {_GRAPHS} select question, kind, entity, relation, category from g",
     "graph_matches": f'with {_MATCH} select question_id::int as question_id, "rank"::int as "rank", entity, edge_id, score::double as score from mt',
     "graph_definitions": """with g as (select lower(n_name) as source, 'nation of ' || lower(r_name) as target from nation join region on n_regionkey = r_regionkey union select 'region ' || lower(r_name), 'home of ' || lower(n_name) from nation join region on n_regionkey = r_regionkey)
 select 'edge-' || substr(sha256(source || '|is_a|' || target), 1, 12) as edge_id, source, 'is_a' as relation, target from g""",

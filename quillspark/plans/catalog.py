@@ -170,9 +170,10 @@ g as (select distinct lower(trim(s_name)) as source, 'uses' as relation, lower(t
   union select lower(r_name), 'contains', lower(n_name) from nation join region on n_regionkey = r_regionkey)"""
 
 _SUBJECTS = ", ".join(f"regexp_replace(regexp_extract(text, '(?i){p}', 1), '^[ ?.]+|[ ?.]+$', '', 'g')" for p in (*i.EXPLANATION, *i.DEFINITION))
+_ENTITIES = f"""regexp_extract_all(text, '{i.REQUIREMENT_ID}') || list_transform(regexp_extract_all(text, '"[^"]+"|''[^'']+'''), lambda x: trim(x[2:-2])) || list_filter([{_SUBJECTS}], lambda x: x <> '')"""
 
 SQL = {
-    "question_entities": f"""with q(question_id, text) as (values {_VALUES}), f as (select question_id, regexp_extract_all(text, '{i.REQUIREMENT_ID}') || list_transform(regexp_extract_all(text, '"[^"]+"|''[^'']+'''), lambda x: trim(x[2:-2])) || list_filter([{_SUBJECTS}], lambda x: x <> '') as es from q)
+    "question_entities": f"""with q(question_id, text) as (values {_VALUES}), f as (select question_id, {_ENTITIES} as es from q)
 select question_id::int as question_id, array_to_string(list_filter(es, lambda x, n: list_position(list_transform(es, lambda y: lower(y)), lower(x)) = n), '; ') as entities from f""",
     "document_checksums": "select doc_id, sha256(text) as checksum, strlen(text)::bigint as size_bytes from documents",
     "distinct_documents": "select sha256(text) as checksum, min(doc_id) as doc_id, count(*) as copies from documents group by 1",

@@ -114,16 +114,19 @@ nodes as (select doc_id, ss, -1 as c, -1 as n, sid as node_id, 'document-root' a
   union all select doc_id, ss, start_line, -1, pid, sid, 'paragraph', start_line, end_line from paras
   union all select doc_id, ss, start_line, n, {_NODE('sentence', 'start_line', 'end_line', 'sentence')}, pid, 'sentence', start_line, end_line from sents)"""
 
+#: cl: phrases of r(phrase), cleaned.
+_CLEANED = rf"""p1 as (select phrase, trim(regexp_replace(trim(phrase), '^(the|a|an) ', '', 'i')) as x from r), p2 as (select phrase, string_split(string_split(string_split(regexp_replace(x, '\s+(which|that|where|with)\b.*$', '', 'is'), ':')[1], ';')[1], ',')[1] as x from p1),
+p3 as (select phrase, string_split(trim(regexp_replace(regexp_replace(x, '^[ \t\n\r.,;:!?"''()\[\]]+|[ \t\n\r.,;:!?"''()\[\]]+$', '', 'g'), '\s+', ' ', 'g')), ' ') as ws from p2),
+p4 as (select phrase, list_transform(ws, lambda w: regexp_replace(w, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')) as ws from p3),
+cl as (select phrase, array_to_string(list_transform(ws, lambda w, i: case when upper(w) in {_ACRONYMS} then upper(w) when length(w) >= 2 and upper(w) = w and lower(w) <> w then w when i = 1 then upper(left(w, 1)) || substr(w, 2) when regexp_matches(w, '^\p{{Ll}}') then lower(w) else w end), ' ') as cleaned from p4)"""
+
 SQL = {
     "heading_categories": rf"""with r as (select * from (values {_SQL_LIST(HEADINGS)}) t(title) union select p_name from part), p as (select title, {_PLAIN} as plain from r),
 w as (select *, list_transform(string_split(plain, ' '), lambda w: {_SINGULAR}) as ws from p), j as (select *, array_to_string(ws, ' ') as joined from w),
 c as (select *, case when plain in {_WEAK} then null when contains(plain, 'design pattern') then 'design_pattern' {_CASES('plain', True)} {_CASES('joined', False)} when len(ws) = 1 and ws[1] not in {_WEAK} then ws[1] end as category from j)
 select title, plain, category, coalesce(category, case when plain <> '' then array_to_string(ws, '_') end, 'general') as name, (case when plain in {_WEAK} then 0.2 {_FIRST} when category is not null then 0.75 else 0.4 end)::double as confidence from c""",
     "clean_phrases": rf"""with r as (select * from (values {_SQL_LIST(PHRASES)}) t(phrase) union select 'the ' || p_name || ', which ' || p_type from part),
-a as (select phrase, trim(regexp_replace(trim(phrase), '^(the|a|an) ', '', 'i')) as x from r), b as (select phrase, string_split(string_split(string_split(regexp_replace(x, '\s+(which|that|where|with)\b.*$', '', 'is'), ':')[1], ';')[1], ',')[1] as x from a),
-c as (select phrase, string_split(trim(regexp_replace(regexp_replace(x, '^[ \t\n\r.,;:!?"''()\[\]]+|[ \t\n\r.,;:!?"''()\[\]]+$', '', 'g'), '\s+', ' ', 'g')), ' ') as ws from b),
-d as (select phrase, list_transform(ws, lambda w: regexp_replace(w, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')) as ws from c)
-select phrase, array_to_string(list_transform(ws, lambda w, i: case when upper(w) in {_ACRONYMS} then upper(w) when length(w) >= 2 and upper(w) = w and lower(w) <> w then w when i = 1 then upper(left(w, 1)) || substr(w, 2) when regexp_matches(w, '^\p{{Ll}}') then lower(w) else w end), ' ') as cleaned from d""",
+{_CLEANED} select phrase, cleaned from cl""",
     "layout_scores": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents),
 n as (select doc_id, line_no, {_STRIP('line')} as s, {_STRIP('lag(line) over w')} as b, {_STRIP('lead(line) over w')} as a from l window w as (partition by doc_id order by line_no)),
 z as (select *, (case when s = '' then 0 else {" + ".join(f"case when {test} then {w} else 0 end" for w, test in _SIGNS)} end)::double as score from n)
