@@ -11,7 +11,7 @@ from quillspark.functions import intent as i
 from quillspark.functions import text as t
 from quillspark.operators import evaluate, graph, schema, sections, structure
 from quillspark.plans.catalog import _ANY, _ENTITIES, _outline, _supply, _table
-from quillspark.plans.outline import _CASES, _CLEANED, _FIRST, _PLACED, _PLAIN, _SECTIONS, _SINGULAR, _WEAK, _outline_parts
+from quillspark.plans.outline import _CLEANED, _FOUND, _PLACED, _SECTIONS, _outline_parts
 
 ASKED = (
     "What does Supplier#000000001 use?", "what does AFRICA contain", "What implements the ASIA?", "What is EUROPE?", "meaning of JAPAN", "What design patterns are mentioned?",
@@ -138,10 +138,7 @@ select question_id::int as question_id, confidence_score, case when kind = 'reve
 s as (select *, (len(list_intersect(ts, list_distinct(tw))) + len(list_filter(ts, lambda x: contains(t, x))) + case when contains(q, t) then 2 else 0 end + case when len(tw) > 0 and contains(array_to_string(qw, ' '), array_to_string(tw, ' ')) then 1.5 else 0 end
   + case when len(tw) > 0 and len(list_intersect(ts, list_distinct(tw))) = len(list_distinct(tw)) then 1 else 0 end)::double as score from c where len(ts) > 0),
 r as (select *, row_number() over (partition by question_id, doc_id order by score desc, start_line, section_id) as "rank" from s where score > 0) select question_id::int as question_id, doc_id, "rank"::int as "rank", section_id, title, score from r where "rank" <= 3""",
-    "schema_categories": f"""with {_SECTIONS}, p as (select doc_id, start_line, title, {_PLAIN} as plain from sec), w as (select *, list_transform(string_split(plain, ' '), lambda w: {_SINGULAR}) as ws from p), j as (select *, array_to_string(ws, ' ') as joined from w),
-c as (select *, case when plain in {_WEAK} then null when contains(plain, 'design pattern') then 'design_pattern' {_CASES('plain', True)} {_CASES('joined', False)} when len(ws) = 1 and ws[1] not in {_WEAK} then ws[1] end as category from j),
-f as (select *, (case when plain in {_WEAK} then 0.2 {_FIRST} when category is not null then 0.75 else 0.4 end)::double as confidence from c), k as (select *, row_number() over (partition by doc_id, category order by confidence desc, start_line) as n from f where confidence >= 0.65 and length(category) > 1)
-select doc_id, category, title as source_section, confidence from k where n = 1 and not regexp_full_match(category, '[0-9]+')""",
+    "schema_categories": f"with {_SECTIONS}, {_FOUND} select doc_id, category, source_section, confidence from found",
     "schema_candidates": f"""with told as (select distinct s_name as s, 'uses' as relation, p_name as o, p_name as said from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
   union all select r_name, 'contains', min(n_name), string_agg(n_name, ', ' order by n_name) from nation join region on n_regionkey = r_regionkey group by 1
   union all select n_name, relation, r_name, r_name from nation join region on n_regionkey = r_regionkey cross join (values {", ".join(f"('{name}')" for name, _ in schema.CANDIDATES)}) w(relation))
