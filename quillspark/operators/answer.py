@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import evidence as e
 from quillspark.functions import intent as i
 from quillspark.functions import text as t
-from quillspark.operators import extract, graph, index, schema, sections
+from quillspark.operators import extract, graph, index, schema, sections, structure
 
 MAX_CARDS, TOP = 3, 5
 CARD = "array<struct<rank:int,citation:string,snippet:string,score:double,confidence:string>>"
@@ -139,3 +139,50 @@ def readiness(text_len: Column, section_count: Column, heading_lines: Column, ex
         F.when(~extracted | (text_len < 80), "RED - NOT_READY").when((section_count < 2) | (heading_lines == 0), "YELLOW - STRUCTURE_WEAK")
         .when((section_count >= 4) & (heading_lines >= 2), "GREEN+ - READY_FOR_EVAL").otherwise("GREEN - READY_FOR_QA")
     )
+
+
+# What a document's name or categories must hold for the first set of suggested questions, the sets, and sample questions with the mode and section they should find.
+SIGNALS = ("architect", "design pattern", "enterprise search", "qa pipeline", "knowledge graph", "symbolic")
+NAME_SIGNALS = ("architecture", "symbolic")
+SUGGESTED = ("what are different architectures mentioned?", "what are different design patterns mentioned?", "What does Enterprise search stack use?", "What does Classic QA pipeline contain?")
+GENERAL = ("What is HPC6 memory policy?", "Where is CPU binding mentioned?", "What is REQ-001?", "List all storage rules")
+SAMPLES = (
+    ("what are different architectures mentioned in the pdf?", "STRUCTURED_EXTRACTIVE", "Existing architectures"),
+    ("what are different design patterns mentioned in the pdf?", "STRUCTURED_EXTRACTIVE", "Design patterns"), ("What does Enterprise search stack use?", "GRAPH_STRUCTURED", None),
+)
+
+
+def suggested(name: Column, categories: Column, edges: Column) -> Column:
+    """Questions that suit a document, from its name, the labels of its categories and the edges of its graph."""
+    name, labels = F.lower(name), F.lower(F.array_join(categories, " "))
+    shown = F.coalesce(edges > 0, F.lit(False)) & (name.rlike("|".join(SIGNALS)) | labels.rlike("|".join(SIGNALS)))
+    return F.when(shown | name.rlike("|".join(NAME_SIGNALS)), F.array(*map(F.lit, SUGGESTED))).otherwise(F.array(*map(F.lit, GENERAL)))
+
+
+def preflight(docs: DataFrame) -> DataFrame:
+    """``doc_id, chars, lines, headings, sections, chunks, readiness, outlook`` of documents ``doc_id, text`` (null: not extracted), without storing them.
+
+    outlook: for each sample question the mode, way and section that it will likely get; null unless the readiness is green.
+    """
+    c = F.col
+    rows = structure.lines(docs)
+    found = structure.sections(rows)
+    of = lambda df, *what: df.groupBy("doc_id").agg(*what)
+    made = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), c("text").isNotNull().alias("_read"))
+    made = made.join(of(rows, F.count(F.lit(1)).alias("lines")), "doc_id", "left").join(of(found, F.count(F.lit(1)).alias("sections"), F.transform(F.sort_array(F.collect_list(F.struct("start_line", "title"))), lambda x: x["title"]).alias("_titles")), "doc_id", "left")
+    made = made.join(of(structure.chunks(rows), F.count(F.lit(1)).alias("chunks")), "doc_id", "left").na.fill(0, ["lines", "sections", "chunks"]).withColumn("headings", c("sections"))
+    made = made.withColumn("readiness", readiness(c("chars"), c("sections"), c("headings"), c("_read")))
+    text = lambda x: F.lit(x).cast("string")
+    likely = lambda q, mode, way, section: F.struct(text(q).alias("question"), text(mode).alias("mode"), text(way).alias("strategy"), section.alias("section"))
+
+    def one(q: str, mode: str, hint: str | None) -> Column:
+        other = likely(q, "EVIDENCE_ONLY or NO_EVIDENCE", "CHUNK_LEVEL", text(None))
+        if "enterprise" in q.lower():
+            other = F.when(F.exists("_titles", lambda t: F.lower(t).contains("architecture")), likely(q, mode, "CHUNK_LEVEL or GRAPH", text(None))).otherwise(other)
+        if hint is None:
+            return other
+        hits = F.filter("_titles", lambda t: F.lower(t).contains(hint.lower()))
+        return F.when(F.size(hits) > 0, likely(q, mode, "SECTION_LEVEL", F.try_element_at(hits, F.lit(1)))).otherwise(other)
+
+    outlook = F.when(c("readiness").startswith("GREEN"), F.array(*[one(*s) for s in SAMPLES]))
+    return made.select("doc_id", "chars", "lines", "headings", "sections", "chunks", "readiness", outlook.alias("outlook"))

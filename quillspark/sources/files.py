@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,9 @@ def new_documents(found: DataFrame, stored: DataFrame) -> DataFrame:
     """The rows of found whose checksum isn't stored, the least path of each checksum."""
     fresh = found.join(stored.select("checksum_sha256"), "checksum_sha256", "left_anti")
     return fresh.groupBy("checksum_sha256").agg(F.min_by(F.struct(*[c for c in found.columns if c != "checksum_sha256"]), "file_path").alias("_r")).select("checksum_sha256", "_r.*").select(*found.columns)
+
+
+def safe_name(name: Column) -> Column:
+    """A name to store an upload under, characters that file systems forbid replaced by _; null for an empty name or one that has .. or a path."""
+    clean = F.trim(F.regexp_replace(name, r'[<>:"|?*\\/\x00-\x1f]', "_"))
+    return F.when((name != "") & ~name.contains("..") & ~name.rlike(r"[/\\]"), F.when(clean.isin("", "."), "upload.bin").otherwise(clean))

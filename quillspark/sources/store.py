@@ -148,6 +148,16 @@ class Store:
         self.audit(told.select(kind.alias("event_type"), F.create_map(F.lit("file_name"), F.col("name"), F.lit("checksum_sha256"), F.col("checksum")).alias("details"), "doc_id"))
         return told
 
+    def scratch(self, name: str):
+        """save(rows, step) that writes intermediate rows below the store and reads them again, in a folder of its own."""
+        folder = f"{self.root}/scratch/{name}-{uuid.uuid4().hex}"
+
+        def save(rows: DataFrame, step: str) -> DataFrame:
+            rows.write.mode("overwrite").parquet(f"{folder}/{step}")
+            return self.spark.read.schema(rows.schema).parquet(f"{folder}/{step}")
+
+        return save
+
     def audit(self, events: DataFrame) -> None:
         """Appends events ``event_type, details`` (map), ``doc_id`` (null for none)."""
         rows = events.select("event_type", message(F.col("event_type"), F.col("details")).alias("message"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("details")))).alias("details"), F.col("doc_id").cast("long").alias("doc_id"), F.current_timestamp().alias("created_at"))
@@ -162,7 +172,7 @@ class Store:
     def clear(self) -> dict[str, bool]:
         """Deletes all tables; which of them were there."""
         gone = {}
-        for name in (*TABLES, "audit", "incoming", "told"):
+        for name in (*TABLES, "audit", "incoming", "told", "scratch"):
             there, files = self._files(f"{self.root}/{name}")
             gone[name] = bool(files.delete(there, True))
         return gone

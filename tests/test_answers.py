@@ -1,6 +1,7 @@
 """Documents stored and asked, end to end; extraction, evidence, readers and layout on small rows."""
 
 import io
+import json
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import evidence, intent, layout, phrases
 from quillspark.operators import answer, evaluate, extract, graph, index, schema, sections
-from quillspark.sources import office, store
+from quillspark.sources import files, office, store, suites
 
 DOC = """Existing architectures
 
@@ -203,3 +204,78 @@ def test_literal_and_joined_search_agree(spark, monkeypatch):
     want = sorted(map(tuple, index.search(chunks, asked).collect()))
     monkeypatch.setattr(index, "LITERAL_TERMS", 0)
     assert sorted(map(tuple, index.search(chunks, asked).collect())) == want and want
+
+
+SUITE = """# a suite
+document: a.txt
+
+cases:
+  - id: list
+    question: what are different architectures mentioned in the pdf?
+    expected_answer_mode: STRUCTURED_EXTRACTIVE
+    expected_retrieval_strategy: SECTION_LEVEL
+    expected_section: existing Architectures
+    expected_contains:
+      - Enterprise search stack
+      - "Classic QA pipeline"
+    expected_not_contains:
+      - Many-grained indexing
+  - id: none
+    question: 'zebra: quagga'
+    expected_answer_mode: NO_EVIDENCE
+  - id: wrong
+    question: What implements policy?
+    expected_answer_mode: EVIDENCE_ONLY
+    expected_section: Nowhere
+    expected_contains:
+      - zebra
+    expected_not_contains:
+      - compliance
+"""
+
+
+def test_suite_is_read_run_and_reported(spark, tmp_path):
+    (tmp_path / "benchmark_docs").mkdir()
+    (tmp_path / "benchmark_docs" / "a.txt").write_text(DOC)
+    (tmp_path / "questions.yaml").write_text(SUITE)
+    name, cases = suites.read_suite(spark, str(tmp_path / "questions.yaml"))
+    got = {r.case_id: r for r in cases.collect()}
+    assert name == "a.txt" and got["list"].contains == ["Enterprise search stack", "Classic QA pipeline"] and got["none"].question == "zebra: quagga" and got["none"].contains == []
+    total, rows = suites.run_suite(spark, str(tmp_path), store.Store(spark, str(tmp_path / "store")))
+    total, rows = spark.createDataFrame(total.collect(), total.schema), spark.createDataFrame(rows.collect(), rows.schema)
+    by = {r.case_id: r for r in rows.collect()}
+    assert by["list"].passed and by["none"].passed and by["list"].section == "Existing architectures"
+    assert by["wrong"].failures == ["answer_mode expected EVIDENCE_ONLY, got GRAPH_STRUCTURED", "section expected 'Nowhere', got ''", "missing expected phrase: 'zebra'", "unexpected phrase present: 'compliance'"]
+    assert evaluate.summary_text(total).first().text == "total_cases=3\npassed=2\nfailed=1\nanswer_mode_accuracy=66.67%\ncontains_pass_rate=66.67%\nnot_contains_violations=1"
+    lines = [r.line for r in evaluate.table_lines(rows).orderBy("n").collect()]
+    assert len(lines) == 5 and len(set(map(len, lines))) == 1 and lines[0].startswith("CASE  | STATUS | MODE ") and set(lines[1]) == set("-+") and lines[2].startswith("list  | PASS ")
+    report = json.loads(evaluate.report_json(total, rows).first().json)
+    assert report["failed_cases"] == 1 and report["success"] is False and [c["case_id"] for c in report["cases"]] == ["list", "none", "wrong"] and report["cases"][1]["actual_section"] is None
+
+
+def test_suite_errors():
+    assert suites.parse("") is None and suites.parse("a:\n- x\n- 'y'\nb:\nc: 1") == {"a": ["x", "y"], "b": "", "c": "1"}
+    for bad in ("a: 1\n  b: 2", "- x\ny: 1", "just words"):
+        with pytest.raises(ValueError):
+            suites.parse(bad)
+
+
+def test_suite_without_cases(spark, tmp_path):
+    (tmp_path / "q.yaml").write_text("document: a.txt\ncases:\n")
+    with pytest.raises(ValueError):
+        suites.read_suite(spark, str(tmp_path / "q.yaml"))
+
+
+def test_preflight_and_suggestions(spark):
+    docs = spark.createDataFrame([(1, DOC), (2, "short"), (3, None), (4, "plain words. " * 10)], "doc_id long, text string")
+    by = {r.doc_id: r for r in answer.preflight(docs).collect()}
+    assert by[1].readiness == "GREEN+ - READY_FOR_EVAL" and by[1].sections == 4 and [(x.strategy, x.section) for x in by[1].outlook] == [("SECTION_LEVEL", "Existing architectures"), ("SECTION_LEVEL", "Design patterns for implementation"), ("CHUNK_LEVEL or GRAPH", None)]
+    assert by[2].readiness == by[3].readiness == "RED - NOT_READY" and by[3].chars == 0 and by[4].readiness == "YELLOW - STRUCTURE_WEAK" and by[4].outlook is None
+    rows = [("Architecture.pdf", [], 0), ("a.txt", ["design pattern"], 3), ("a.txt", ["design pattern"], 0), ("a.txt", [], 9)]
+    got = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, name string, categories array<string>, edges long").orderBy("n").select(answer.suggested(F.col("name"), F.col("categories"), F.col("edges")).alias("s")).collect()
+    assert [r.s == list(answer.SUGGESTED) for r in got] == [True, True, False, False] and got[2].s == list(answer.GENERAL)
+
+
+def test_upload_names(spark):
+    cases = {"a b.txt": "a b.txt", 'x<y>:"z|?*.pdf': "x_y___z___.pdf", "../a": None, "a/b": None, "a\\b": None, "": None, " ": "upload.bin", ".": "upload.bin"}
+    assert {k: one(spark, files.safe_name, k) for k in cases} == cases
