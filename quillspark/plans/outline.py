@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import headings as h
 from quillspark.functions import phrases
-from quillspark.operators import schema, structure
+from quillspark.operators import answer, schema, structure
 from quillspark.plans.catalog import _OUTLINE, _outline, _table
 
 HEADINGS = (
@@ -72,6 +72,11 @@ def marked_categories(spark, sf_dir):
     return schema.categories(marked_sections(spark, sf_dir))
 
 
+def document_preflight(spark, sf_dir):
+    """Whether every document is fit for questions."""
+    return answer.preflight(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("outlook")
+
+
 def _outline_parts(spark, sf_dir):
     rows = structure.lines(_outline(spark, sf_dir))
     found = structure.sections(rows)
@@ -93,7 +98,7 @@ def section_texts(spark, sf_dir):
     return structure.section_texts(structure.tree(chunks, found)).select("doc_id", "title", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (heading_categories, clean_phrases, layout_scores, document_chunks, marked_sections, marked_chunk_sections, marked_categories, chunk_sections, document_tree, section_texts)}
+QUERIES = {f.__name__: f for f in (heading_categories, clean_phrases, layout_scores, document_chunks, marked_sections, marked_chunk_sections, marked_categories, document_preflight, chunk_sections, document_tree, section_texts)}
 
 _SINGULAR = """case when length(w) <= 2 then w when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y' when (w like '%ches' or w like '%shes') and length(w) > 5 then left(w, length(w) - 2)
   when (w like '%xes' or w like '%ses') and length(w) > 4 then left(w, length(w) - 2) when w like '%s' and w not like '%ss' then left(w, length(w) - 1) else w end"""
@@ -190,6 +195,8 @@ select doc_id, line_no, score, {_ALONE} as is_heading from z""",
 x as (select doc_id, chunk_type, start_line, e, side, last_value(section_id ignore nulls) over w as section_id, last_value(title ignore nulls) over w as section_title from us window w as (partition by doc_id order by start_line, side rows between unbounded preceding and current row))
 select doc_id, chunk_type, start_line, e::bigint as end_line, section_id, section_title from x where side = 1"""),
     "marked_categories": _MARKED(f"with {_DOCUMENT_SECTIONS}, {_FOUND} select doc_id, category, source_section, confidence from found"),
+    "document_preflight": f"""with recursive {_DOCUMENT_CHUNKS}, number as (select d.doc_id, coalesce(length(text), 0) as chars, text is not null as there, (select count(*) from hd where hd.doc_id = d.doc_id) as lines, (select count(*) from sec where sec.doc_id = d.doc_id) as sections, (select count(*) from ck where ck.doc_id = d.doc_id) as chunks from documents d)
+select doc_id, chars::int as chars, lines, sections as headings, sections, chunks, case when not there or chars < 80 then 'RED - NOT_READY' when sections < 2 then 'YELLOW - STRUCTURE_WEAK' when sections >= 4 then 'GREEN+ - READY_FOR_EVAL' else 'GREEN - READY_FOR_QA' end as readiness from number""",
     "chunk_sections": f"with recursive {_PLACED} select doc_id, start_line::int as start_line, end_line::int as end_line, chunk_type, section_id from cs",
     "document_tree": f"with recursive {_TREE} select doc_id, (row_number() over (partition by doc_id order by ss, c, n))::int as ord, node_id, parent_id, node_type, start_line::int as start_line, end_line::int as end_line from nodes",
     "section_texts": f"""with recursive {_TREE}, merged as (select tops.doc_id, tops.sid, tops.title, coalesce(bool_or(contains(lower(text), lower(title))), false) as said, string_agg(text, chr(10) || chr(10) order by paras.start_line) as body from tops left join paras on paras.doc_id = tops.doc_id and paras.sid = tops.sid group by 1, 2, 3)
