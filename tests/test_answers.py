@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import evidence, intent, layout, phrases
-from quillspark.operators import answer, evaluate, extract, graph, index, schema, sections
-from quillspark.sources import files, office, store, suites
+from quillspark.operators import answer, evaluate, extract, graph, index, schema, sections, trace
+from quillspark.sources import exchange, files, office, store, suites
 
 DOC = """Existing architectures
 
@@ -279,3 +279,32 @@ def test_preflight_and_suggestions(spark):
 def test_upload_names(spark):
     cases = {"a b.txt": "a b.txt", 'x<y>:"z|?*.pdf': "x_y___z___.pdf", "../a": None, "a/b": None, "a\\b": None, "": None, " ": "upload.bin", ".": "upload.bin"}
     assert {k: one(spark, files.safe_name, k) for k in cases} == cases
+
+
+def test_what_is_known_as_json(spark, stored):
+    held, told, _ = stored
+    for kind, names in exchange.KINDS.items():
+        tables = {name: held.table(name) for name in names}
+        texts = exchange.dump(tables, kind)
+        back = exchange.load(texts, kind)
+        assert set(back) == set(names) and set(json.loads(texts.where(F.col("doc_id") == told["a.txt"].doc_id).first().json)) == set(names)
+        for name in names:
+            assert sorted(map(repr, map(tuple, back[name].select(*tables[name].columns).collect()))) == sorted(map(repr, map(tuple, tables[name].collect())))
+    bad = spark.createDataFrame([(1, "no json"), (2, None)], "doc_id long, json string")
+    assert [rows.count() for rows in exchange.load(bad, "graph").values()] == [0, 0]
+
+
+def test_trace_lines(spark):
+    asked = spark.createDataFrame([(1, "forward", "Alpha", "uses"), (2, "forward", "Gone", "uses")], "question_id int, kind string, entity string, relation string")
+    edges = graph.edges(graph.triples(spark.createDataFrame([("Alpha uses beta box.",), ("Alpha uses gamma.",)], "sentence string")))
+    found = graph.match(asked, edges)
+    by = lambda rows: {r[0]: r.lines for r in rows.collect()}
+    got = by(trace.matches(asked, found, edges))
+    assert got[1] == ["graph_matching_used=True", "graph_match_count=2", "graph_top_match=alpha --uses--> beta box", "graph_answer_entities=[beta box, gamma]"]
+    assert got[2] == ["graph_matching_used=True", "graph_match_count=0", "graph_top_match=", "graph_answer_entities=[]"]
+    got = by(trace.answers(asked, found, graph.answers(asked, found)))
+    assert got[1] == ["graph_answer_candidate=True", "graph_answer_used=True", "graph_answer_confidence=11.00", "graph_answer_entities=[beta box, gamma]"]
+    assert got[2] == ["graph_answer_candidate=False", "graph_answer_used=False", "graph_answer_confidence=0.00", "graph_answer_entities=[]"]
+    checked = spark.createDataFrame([(1, "c", 2, "b", "late"), (1, "c", 1, "a", "early"), (1, "c", 0, "x", ""), (2, "c", 0, "y", "")], "doc_id long, category string, ord long, entity string, reason string")
+    got = by(trace.validation(checked))
+    assert got[1][1:] == ["validated_entities_count=1", "rejected_entities_count=2", "rejected_entities=[a, b]", "rejection_reason=early"] and len(got[2]) == 3
