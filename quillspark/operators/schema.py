@@ -20,8 +20,10 @@ LEAST_HITS = 2
 
 def categories(sections: DataFrame) -> DataFrame:
     """``doc_id, category, source_section, confidence``: the surest heading of each category, the first of equals; weak and numeric names go."""
-    c = h.category(F.col("title"))
-    rows = sections.select("doc_id", "title", "start_line", c.alias("category")).withColumn("confidence", h.category_confidence(F.col("title"), F.col("category")))
+    # Generators keep the rules from being computed once for each condition.
+    once = lambda x: F.explode(F.array(x))
+    rows = sections.select("doc_id", "title", "start_line", once(h.category(F.col("title"))).alias("category"))
+    rows = rows.select("*", once(h.category_confidence(F.col("title"), F.col("category"))).alias("confidence"))
     rows = rows.where((F.col("confidence") >= h.LEAST_CONFIDENCE) & (F.length("category") > 1) & (F.col("category") != "general") & ~F.col("category").rlike("^[0-9]+$"))
     best = F.min(F.struct((-F.col("confidence")).alias("c"), "start_line", "title")).alias("_b")
     return rows.groupBy("doc_id", "category").agg(best).select("doc_id", "category", F.col("_b.title").alias("source_section"), (-F.col("_b.c")).alias("confidence"))
